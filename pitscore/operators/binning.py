@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitscore.functions.columns import col, missing
-from pitscore.operators.ranking import RANGES, running_counts, score_counts
+from pitscore.operators.ranking import running_counts, score_counts
 
 TRENDS = (None, "auto", "auto_asc_desc", "ascending", "descending", "peak", "valley")
 _UNPIVOT_CHUNK = 64
@@ -41,7 +41,7 @@ def prebins(
     counts: DataFrame,
     groups: Sequence[str] = (),
     max_prebins: int = 10,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     keep_missing: bool = False,
 ) -> DataFrame:
     """``prebin`` (1..k per group), its value range ``lo, hi``, and ``n1, n0``."""
@@ -164,7 +164,7 @@ def optimal_bins(
     max_prebins: int = 10,
     min_bin_share: float = 0.1,
     trend: str | None = "auto",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Optimal 1-D binning of a score; the ``hi`` of every bin but the last are its splits."""
     pre = prebins(score_counts(df, score, target), (), max_prebins, ranges)
@@ -246,7 +246,7 @@ def feature_bins(
     max_prebins: int = 10,
     min_bin_share: float = 0.1,
     trend: str | None = "auto",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Optimal bins of every feature, with missing values in a bin of their own (``bin`` 0)."""
     counts = _variable_counts(df, features, target).withColumn("_gone", F.col("score").isNull())

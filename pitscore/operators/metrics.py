@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitscore.functions.columns import count_if
-from pitscore.operators.ranking import RANGES, ranked
+from pitscore.operators.ranking import ranked
 
 CELLS = ["n00", "n01", "n10", "n11"]
 
@@ -88,7 +88,7 @@ def ks(
     prob: str,
     groups: Sequence[str] = (),
     digits: int | None = 4,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Largest distance between the two classes' cumulative shares; NULL when a class is empty."""
     r = ranked(df, prob, target, groups, ranges)
@@ -105,7 +105,7 @@ def ks_by_date_ref(
     variable_target_categorical: str,
     variable_target_prob: str,
     groups: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One KS per period, keyed ``period_ref_<period>``."""
     per = ks(
@@ -120,7 +120,7 @@ def ks_by_date_ref(
 
 
 def roc_auc(
-    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Share of (event, non-event) pairs ranked right, ties counting half; exact, from counts only.
 
@@ -134,7 +134,7 @@ def roc_auc(
 
 
 def average_precision(
-    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Sum over thresholds of recall gained times precision reached (steps, not trapezoids)."""
     r = ranked(df, score, target, groups, ranges)
@@ -145,7 +145,7 @@ def average_precision(
 
 
 def roc_points(
-    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """False and true positive rate at each distinct score used as threshold (``score >= threshold``)."""
     r = ranked(df, score, target, groups, ranges)
@@ -160,7 +160,7 @@ def roc_points(
 
 
 def ks_points(
-    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Both classes' cumulative shares, and their distance, at each distinct score."""
     r = ranked(df, score, target, groups, ranges)

@@ -16,13 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitscore.functions.columns import count_if
 
-RANGES = 128  # a power of two
-_DRAWS_PER_RANGE = 8
+_DRAWS_PER_RANGE = 4
+_MAX_RANGES = 1024
+
+
+def default_ranges(spark: SparkSession) -> int:
+    """A power of two, at least four ranges per shuffle partition, from 16 to 1024."""
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(_MAX_RANGES, max(16, 1 << (wanted - 1).bit_length()))
 
 
 def score_counts(
@@ -64,7 +70,7 @@ def _with_range(df: DataFrame, ranges: int) -> DataFrame:
 def running_counts(
     counts: DataFrame,
     groups: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
     keep_missing: bool = False,
 ) -> DataFrame:
     """Add ``c1, c0`` (counts at or below the score) and ``t1, t0`` (group totals).
@@ -72,6 +78,7 @@ def running_counts(
     NULL scores are dropped, or sorted first with ``keep_missing``.
     """
     groups = list(groups)
+    ranges = ranges or default_ranges(counts.sparkSession)
     if not keep_missing:
         counts = counts.filter(F.col("score").isNotNull())
     cuts = _cut_points(counts, groups, ranges).scalar()
@@ -113,6 +120,6 @@ def running_counts(
 
 
 def ranked(
-    df: DataFrame, score: str, target: str, groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, score: str, target: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     return running_counts(score_counts(df, score, target, groups), groups, ranges)

@@ -16,14 +16,10 @@ Frames are partial at the start of a series and NULL values are skipped.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitscore.functions import vocabulary as V
-from pitscore.functions.columns import relative_change
 from pitscore.operators.series import amplitude
 
 TILE = 30
@@ -36,99 +32,112 @@ def tile_plan(n: int, tile: int = TILE) -> list[tuple[int, int]]:
     return plan + ([(rest, whole * tile)] if rest else [])
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _double(name: str) -> str:
+    return f"CAST({_q(name)} AS DOUBLE)"
+
+
+def _sum0(parts: Iterable[str]) -> str:
+    return "(" + " + ".join(f"coalesce({p}, 0)" for p in parts) + ")"
+
+
 class RollingFeatures:
-    """Collects feature families over one panel, then builds them in shared window nodes."""
+    """Collects feature families over one panel, then builds them in shared window nodes.
+
+    Expressions are kept as SQL text: hundreds of them are parsed in one call per stage, where as many
+    Column objects would take seconds to put together.
+    """
 
     def __init__(self, df: DataFrame, series: Sequence[str], order: Sequence[str]):
         self.df = df
-        self.w = Window.partitionBy(*series).orderBy(*order)
-        self._first: dict[str, Column] = {}
-        self._short: dict[str, Column] = {}
-        self._back: dict[str, Column] = {}
-        self._mid: dict[str, Column] = {}
-        self._out: dict[str, Column] = {}
+        self.w = f"PARTITION BY {', '.join(map(_q, series))} ORDER BY {', '.join(map(_q, order))}"
+        self._first: dict[str, str] = {}
+        self._short: dict[str, str] = {}
+        self._back: dict[str, str] = {}
+        self._mid: dict[str, str] = {}
+        self._out: dict[str, str] = {}
 
     def build(self, keep: Sequence[str] | None = None) -> DataFrame:
         """``keep`` (default: all input columns) followed by the features."""
         out = self.df
         for stage in (self._first, self._short, self._back, self._mid):
             if stage:
-                out = out.select("*", *[c.alias(n) for n, c in stage.items()])
+                out = out.selectExpr("*", *[f"{e} AS {_q(n)}" for n, e in stage.items()])
         base = self.df.columns if keep is None else keep
-        return out.select(*base, *[c.alias(n) for n, c in self._out.items()])
+        return out.selectExpr(*map(_q, base), *[f"{e} AS {_q(n)}" for n, e in self._out.items()])
 
     # -- pieces -----------------------------------------------------------------------------------
 
-    def _frame(self, name: str, length: int, agg: Column) -> str:
+    def _frame(self, name: str, length: int, agg: str) -> str:
         key = f"_{name}_{length}"
-        self._short[key] = agg.over(self.w.rowsBetween(1 - length, Window.currentRow))
+        self._short[key] = f"{agg} OVER ({self.w} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
         return key
 
-    def _lagged(self, column: str, rows: int) -> Column:
+    def _lagged(self, column: str, rows: int) -> str:
         if rows == 0:
-            return F.col(column)
+            return _q(column)
         key = f"{column}_b{rows}"
-        self._back[key] = F.lag(column, rows).over(self.w)
-        return F.col(key)
+        self._back[key] = f"lag({_q(column)}, {rows}) OVER ({self.w})"
+        return _q(key)
 
-    def _tiles(self, name: str, n: int, agg: Column, skip: int = 0) -> list[Column]:
+    def _tiles(self, name: str, n: int, agg: str, skip: int = 0) -> list[str]:
         return [self._lagged(self._frame(name, k, agg), b + skip) for k, b in tile_plan(n)]
 
-    def _total(self, name: str, n: int, agg: Column) -> Column:
-        return reduce(add, [F.coalesce(t, F.lit(0)) for t in self._tiles(name, n, agg)])
+    def _total(self, name: str, n: int, agg: str) -> str:
+        return _sum0(self._tiles(name, n, agg))
 
-    def _extreme(self, name: str, n: int, agg: Column, pick, skip: int = 0) -> Column:
+    def _extreme(self, name: str, n: int, agg: str, pick: str, skip: int = 0) -> str:
         tiles = self._tiles(name, n, agg, skip)
-        return pick(*tiles) if len(tiles) > 1 else tiles[0]
+        return f"{pick}({', '.join(tiles)})" if len(tiles) > 1 else tiles[0]
 
     # -- families ---------------------------------------------------------------------------------
 
     def stats(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``amt_avg_/std_/min_/max_<label>_<N>``: mean, sample deviation, minimum, maximum."""
-        label = label or value
-        x = F.col(value).cast("double")
+        label, x = label or value, _double(value)
         for n in windows:
-            counts = self._tiles(f"n_{value}", n, F.count(x))
-            sums = self._tiles(f"s_{value}", n, F.sum(x))
-            spreads = self._tiles(f"v_{value}", n, F.var_pop(x))
+            counts = self._tiles(f"n_{value}", n, f"count({x})")
+            sums = self._tiles(f"s_{value}", n, f"sum({x})")
+            spreads = self._tiles(f"v_{value}", n, f"var_pop({x})")
             size, mean = f"_size_{value}_{n}", f"_mean_{value}_{n}"
-            total = reduce(add, [F.coalesce(c, F.lit(0)) for c in counts])
-            self._mid[size] = total
-            self._mid[mean] = F.try_divide(reduce(add, [F.coalesce(s, F.lit(0.0)) for s in sums]), total)
-            squares = reduce(
-                add,
-                [
-                    F.coalesce(c * (v + F.pow(F.try_divide(s, c) - F.col(mean), 2)), F.lit(0.0))
-                    for c, s, v in zip(counts, sums, spreads, strict=True)
-                ],
+            self._mid[size] = _sum0(counts)
+            self._mid[mean] = f"try_divide({_sum0(sums)}, {_sum0(counts)})"
+            squares = _sum0(
+                f"{c} * ({v} + pow(try_divide({s}, {c}) - {_q(mean)}, 2))"
+                for c, s, v in zip(counts, sums, spreads, strict=True)
             )
-            self._out[f"amt_avg_{label}_{n}"] = F.col(mean)
-            self._out[f"amt_std_{label}_{n}"] = F.sqrt(F.try_divide(squares, F.col(size) - 1))
-            self._out[f"amt_min_{label}_{n}"] = self._extreme(f"lo_{value}", n, F.min(x), F.least)
-            self._out[f"amt_max_{label}_{n}"] = self._extreme(f"hi_{value}", n, F.max(x), F.greatest)
+            self._out[f"amt_avg_{label}_{n}"] = _q(mean)
+            self._out[f"amt_std_{label}_{n}"] = f"sqrt(try_divide({squares}, {_q(size)} - 1))"
+            self._out[f"amt_min_{label}_{n}"] = self._extreme(f"lo_{value}", n, f"min({x})", "least")
+            self._out[f"amt_max_{label}_{n}"] = self._extreme(f"hi_{value}", n, f"max({x})", "greatest")
         return self
 
     def changes(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
-        """``pct_tx_<label>_<N>d``: change over N rows."""
+        """``pct_tx_<label>_<N>d``: change over N rows; NULL when the older value is 0 or missing."""
         for n in windows:
             base = f"_c_{value}_{n}"
-            self._first[base] = F.lag(value, n).over(self.w)
-            self._out[f"pct_tx_{label or value}_{n}d"] = relative_change(value, base)
+            self._first[base] = f"lag({_q(value)}, {n}) OVER ({self.w})"
+            self._out[f"pct_tx_{label or value}_{n}d"] = (
+                f"try_divide({_q(value)} - {_q(base)}, abs({_q(base)}))"
+            )
         return self
 
     def slopes(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``amt_beta_<label>_<N>``: least-squares slope of the value on the row number."""
-        self._first["_t"] = F.row_number().over(self.w).cast("double")
-        x = F.col(value).cast("double")
-        t = F.when(x.isNotNull(), F.col("_t"))
+        self._first["_t"] = f"CAST(row_number() OVER ({self.w}) AS DOUBLE)"
+        x = _double(value)
+        t = f"CASE WHEN {x} IS NOT NULL THEN _t END"
         for n in windows:
-            size = self._total(f"n_{value}", n, F.count(x))
-            st = self._total(f"t_{value}", n, F.sum(t))
-            sx = self._total(f"s_{value}", n, F.sum(x))
-            stt = self._total(f"tt_{value}", n, F.sum(t * t))
-            stx = self._total(f"tx_{value}", n, F.sum(t * x))
-            self._out[f"amt_beta_{label or value}_{n}"] = F.try_divide(
-                size * stx - st * sx, size * stt - st * st
+            size = self._total(f"n_{value}", n, f"count({x})")
+            st = self._total(f"t_{value}", n, f"sum({t})")
+            sx = self._total(f"s_{value}", n, f"sum({x})")
+            stt = self._total(f"tt_{value}", n, f"sum(({t}) * _t)")
+            stx = self._total(f"tx_{value}", n, f"sum(_t * {x})")
+            self._out[f"amt_beta_{label or value}_{n}"] = (
+                f"try_divide({size} * {stx} - {st} * {sx}, {size} * {stt} - {st} * {st})"
             )
         return self
 
@@ -136,35 +145,29 @@ class RollingFeatures:
         self, value: str, windows: Iterable[int], high: bool, label: str | None = None
     ) -> RollingFeatures:
         """``cat_<label>_broke_high_<N>`` / ``_low_``: 1 when beyond all of the previous N rows."""
-        x = F.col(value).cast("double")
+        x = _double(value)
         for n in windows:
             if high:
-                edge = self._extreme(f"hi_{value}", n, F.max(x), F.greatest, skip=1)
-                broke = x > edge
+                side, op = "high", ">"
+                edge = self._extreme(f"hi_{value}", n, f"max({x})", "greatest", skip=1)
             else:
-                edge = self._extreme(f"lo_{value}", n, F.min(x), F.least, skip=1)
-                broke = x < edge
-            side = "high" if high else "low"
-            self._out[f"cat_{label or value}_broke_{side}_{n}"] = broke.cast("int")
+                side, op = "low", "<"
+                edge = self._extreme(f"lo_{value}", n, f"min({x})", "least", skip=1)
+            self._out[f"cat_{label or value}_broke_{side}_{n}"] = f"CAST({x} {op} {edge} AS INT)"
         return self
 
     def strength(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``amt_IFR_<label>_<N>``: 100 - 100 / (1 + gains / losses); 100 without losses."""
         move = f"_d_{value}"
-        self._first[move] = F.col(value) - F.lag(value, 1).over(self.w)
-        gain = F.greatest(F.col(move), F.lit(0.0))
-        loss = F.greatest(-F.col(move), F.lit(0.0))
-        gain = F.when(F.col(move).isNotNull(), gain)
-        loss = F.when(F.col(move).isNotNull(), loss)
+        self._first[move] = f"{_double(value)} - lag({_double(value)}, 1) OVER ({self.w})"
+        d = _q(move)
         for n in windows:
-            moves = self._total(f"m_{value}", n, F.count(F.col(move)))
-            gains = self._total(f"g_{value}", n, F.sum(gain))
-            losses = self._total(f"l_{value}", n, F.sum(loss))
-            self._out[f"amt_IFR_{label or value}_{n}"] = F.when(
-                moves > 0,
-                F.when(losses == 0, 100.0).otherwise(
-                    100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gains, losses))
-                ),
+            moves = self._total(f"m_{value}", n, f"count({d})")
+            gains = self._total(f"g_{value}", n, f"sum(CASE WHEN {d} > 0 THEN {d} WHEN {d} <= 0 THEN 0D END)")
+            losses = self._total(f"l_{value}", n, f"sum(CASE WHEN {d} < 0 THEN -{d} WHEN {d} >= 0 THEN 0D END)")
+            self._out[f"amt_IFR_{label or value}_{n}"] = (
+                f"CASE WHEN {moves} > 0 THEN CASE WHEN {losses} = 0 THEN 100D "
+                f"ELSE 100 - 100D / (1 + {gains} / {losses}) END END"
             )
         return self
 
