@@ -453,7 +453,7 @@ rf_score = _model_query("forest", numTrees=20, maxDepth=5, minInstancesPerNode=1
 
 
 def feature_importances(spark, sf_dir):
-    panel = training_panel(spark, sf_dir).filter(F.col("split") == "train")
+    panel = io.materialize(training_panel(spark, sf_dir).filter(F.col("split") == "train"))
     model = modeling.train(panel, MODEL_FEATURES, "cat_target", "forest", numTrees=20, maxDepth=5)
     return modeling.importances(model, MODEL_FEATURES)
 

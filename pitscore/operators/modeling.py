@@ -78,7 +78,8 @@ def classifier(family: str, target: str, **params):
 def train(
     df: DataFrame, features: Sequence[str], target: str, family: str = "boosted", **params
 ) -> PipelineModel:
-    """Fit a tree classifier with balanced class weights."""
+    """Fit a tree classifier with balanced class weights. The fit reads ``df`` several times: pass a
+    materialized table."""
     weighted = with_balanced_weight(df, target)
     return Pipeline(stages=[assembler(features), classifier(family, target, **params)]).fit(weighted)
 

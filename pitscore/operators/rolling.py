@@ -110,7 +110,7 @@ class RollingFeatures:
                 for c, s, v in zip(counts, sums, spreads, strict=True)
             )
             self._out[f"amt_avg_{label}_{n}"] = _q(mean)
-            self._out[f"amt_std_{label}_{n}"] = f"sqrt(try_divide({squares}, {_q(size)} - 1))"
+            self._out[f"amt_std_{label}_{n}"] = f"sqrt(try_divide({squares}, greatest({_q(size)} - 1, 0)))"
             self._out[f"amt_min_{label}_{n}"] = self._extreme(f"lo_{value}", n, f"min({x})", "least")
             self._out[f"amt_max_{label}_{n}"] = self._extreme(f"hi_{value}", n, f"max({x})", "greatest")
         return self
