@@ -29,19 +29,22 @@ def _carry_latest(
     record_order: Sequence[str],
     payload: Sequence[str],
 ) -> DataFrame:
-    """Rows plus the payload of the last record with ``record_period <= period`` in the same part."""
+    """Rows plus the payload of the last record with ``record_period <= period`` in the same part.
+
+    Records take the rows' own period column, so the result stays sorted by it within each part.
+    """
     order_names = [f"_o{i}" for i in range(len(record_order))]
-    left = rows.withColumn("_p", F.col(period)).withColumn("_side", F.lit(1))
+    left = rows.withColumn("_side", F.lit(1))
     right = records.select(
         *part,
-        F.col(record_period).alias("_p"),
+        F.col(record_period).alias(period),
         F.lit(0).alias("_side"),
         *[F.col(c).alias(n) for c, n in zip(record_order, order_names, strict=True)],
         F.struct(*payload).alias("_rec"),
     )
     w = (
         Window.partitionBy(*part)
-        .orderBy("_p", "_side", *order_names)
+        .orderBy(period, "_side", *order_names)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
@@ -68,18 +71,22 @@ def asof_join(
     record_period: str,
     record_order: Sequence[str],
     payload: Sequence[str],
+    series_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left as-of join: each row gets the latest record of its key with ``record_period <= period``.
 
     ``series`` contains ``by`` and is how the panel is partitioned for later lags, so the join and
-    the lags share one shuffle of the rows. Each key's records are copied to its series; the copies
-    number series times records per key, far below the number of rows.
+    the lags share one shuffle of the rows; with the lags' date as ``period`` they share the sort too.
+    Each key's records are copied to its series; the copies number series times records per key, far
+    below the number of rows. The list of series is read from ``series_from``: any frame holding every
+    series of ``rows``, such as the raw scan, so that preparing the rows is not planned twice.
     """
     extra = [c for c in series if c not in by]
     records = _clean_records(records, by, record_period)
     if extra:
         carried = list(dict.fromkeys([*by, record_period, *record_order, *payload]))
-        records = rows.select(*series).distinct().join(records.select(*carried), on=list(by))
+        source = rows if series_from is None else series_from
+        records = source.select(*series).distinct().join(records.select(*carried), on=list(by))
     return _carry_latest(rows, records, series, period, record_period, record_order, payload)
 
 
@@ -91,12 +98,14 @@ def asof_join_by_period(
     record_period: str,
     record_order: Sequence[str],
     payload: Sequence[str],
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Same result as ``asof_join`` for keys with any number of rows.
 
-    The record is resolved once per distinct (key, period), then joined back on both.
+    The record is resolved once per distinct (key, period), then joined back on both. Keys and periods
+    are read from ``keys_from`` when given: a frame holding all of them, cheaper than ``rows``.
     """
-    keys = rows.select(*by, period).distinct()
+    keys = (rows if keys_from is None else keys_from).select(*by, period).distinct()
     resolved = _carry_latest(
         keys,
         _clean_records(records, by, record_period),
@@ -141,6 +150,7 @@ def component_theta_join(
     record_month: str,
     record_order: Sequence[str],
     payload: Sequence[str],
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left join on key with ``year >= record_year`` and ``month >= record_month``, one row kept.
 
@@ -153,7 +163,8 @@ def component_theta_join(
     order_names = [f"_o{i}" for i in range(len(record_order))]
     part = [*by, "_m"]
     keys = (
-        rows.select(*by, F.col(year).alias("_y"), F.col(month).alias("_m"))
+        (rows if keys_from is None else keys_from)
+        .select(*by, F.col(year).alias("_y"), F.col(month).alias("_m"))
         .distinct()
         .withColumn("_side", F.lit(1))
     )

@@ -223,17 +223,10 @@ def _variable_counts(df: DataFrame, features: Sequence[str], target: str) -> Dat
     out = None
     for i in range(0, len(features), _UNPIVOT_CHUNK):
         chunk = features[i : i + _UNPIVOT_CHUNK]
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("variable"),
-                    F.when(~missing(c, types[c]), F.col(c).cast("double")).alias("score"),
-                )
-                for c in chunk
-            ]
-        )
-        long = df.filter(F.col(target).isin(0, 1)).select(target, F.inline(pairs))
-        part = score_counts(long, "score", target, ["variable"])
+        values = [F.when(~missing(c, types[c]), F.col(c).cast("double")).alias(c) for c in chunk]
+        labelled = df.filter(F.col(target).isin(0, 1)).select(F.col(target).alias("_y"), *values)
+        long = labelled.unpivot(["_y"], chunk, "variable", "score")
+        part = score_counts(long, "score", "_y", ["variable"])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -61,12 +61,8 @@ def dataset_description(df: DataFrame, approximate: bool = False) -> DataFrame:
         by_type[t].append(c)
     out = None
     for t, cols in by_type.items():
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in cols]
-        )
-        values = df.select(F.inline(pairs)).select(
-            "column", F.when(~missing("value", t), F.col("value")).alias("value")
-        )
+        present = df.select(*[F.when(~missing(f"`{c}`", t), F.col(f"`{c}`")).alias(c) for c in cols])
+        values = present.unpivot([], [f"`{c}`" for c in cols], "column", "value")
         per_value = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         part = per_value.groupBy("column").agg(
             F.lit(t).alias("type"),

@@ -20,13 +20,13 @@ PUBLICATION_DAYS = 90
 SERIES = ["id_cnpj", "ticker"]
 
 
-def prepare_prices(prices: DataFrame, since: str = HISTORY_START) -> DataFrame:
-    """One row per (date, id_cnpj, ticker) with calendar columns and the lagged statement period.
+def _known(prices: DataFrame, since: str) -> DataFrame:
+    """Rows of known companies after the first day kept; both tests reach the scan."""
+    return prices.filter((F.col("id_cnpj") != UNKNOWN_COMPANY) & (F.col("date") > F.lit(since).cast("date")))
 
-    The filters test key columns, so they run before the deduplication and reach the scan.
-    """
-    kept = prices.filter((F.col("id_cnpj") != UNKNOWN_COMPANY) & (F.col("date") > F.lit(since).cast("date")))
-    return keep_one(kept, ["date", *SERIES]).select(
+
+def _calendar(prices: DataFrame) -> DataFrame:
+    return prices.select(
         "*",
         F.year("date").alias("dt_year"),
         F.month("date").alias("dt_month"),
@@ -34,22 +34,39 @@ def prepare_prices(prices: DataFrame, since: str = HISTORY_START) -> DataFrame:
     )
 
 
+def prepare_prices(prices: DataFrame, since: str = HISTORY_START) -> DataFrame:
+    """One row per (date, id_cnpj, ticker) with calendar columns and the lagged statement period."""
+    return _calendar(keep_one(_known(prices, since), ["date", *SERIES]))
+
+
 def prepare_statements(statements: DataFrame) -> DataFrame:
-    """One row per (id_cnpj, dt_refer), the last processed; adds the statement's period ``_safra``."""
+    """One row per (id_cnpj, dt_refer), the last processed; adds the statement's period ``_safra`` and
+    ``_visible``, the first day a price row may use it."""
     order = [F.col("processed_at").desc_nulls_last()] if "processed_at" in statements.columns else []
     one = keep_one(statements.filter(F.col("dt_refer").isNotNull()), ["id_cnpj", "dt_refer"], order)
-    return one.withColumn("_safra", period_key("dt_year", F.month("dt_refer"))).drop("dt_year", "dt_quarter")
+    month = F.month("dt_refer")
+    return one.select(
+        "*",
+        period_key("dt_year", month).alias("_safra"),
+        F.date_add(F.make_date("dt_year", month, F.lit(1)), PUBLICATION_DAYS).alias("_visible"),
+    ).drop("dt_year", "dt_quarter")
+
 
+def join_statements(
+    prices: DataFrame, statements: DataFrame, by_period: bool = False, keys_from: DataFrame | None = None
+) -> DataFrame:
+    """Left as-of join of prepared prices to prepared statements; the latest statement wins.
 
-def join_statements(prices: DataFrame, statements: DataFrame, by_period: bool = False) -> DataFrame:
-    """Left as-of join of prepared prices to prepared statements; the latest statement wins."""
-    payload = [c for c in statements.columns if c not in ("id_cnpj", "_safra")]
+    A price row sees a statement when its ``dt_safra_dre`` is at or after ``_safra``, which is the same as
+    its date being at or after ``_visible``. Ordering by date keeps the rows sorted for the lags.
+    """
+    payload = [c for c in statements.columns if c not in ("id_cnpj", "_safra", "_visible")]
     if by_period:
         return asof_join_by_period(
-            prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload
+            prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload, keys_from
         )
     return asof_join(
-        prices, statements, ["id_cnpj"], SERIES, "dt_safra_dre", "_safra", ["dt_refer"], payload
+        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from
     )
 
 
@@ -65,7 +82,9 @@ def build_model_table(
 
     The filter stays after the lags, so a price row without a statement still serves as a lag.
     """
-    joined = join_statements(prepare_prices(prices, since), prepare_statements(statements))
+    joined = join_statements(
+        prepare_prices(prices, since), prepare_statements(statements), keys_from=_known(prices, since)
+    )
     out = add_target(joined, SERIES, "date", "adj_close", shift)
     if columns is not None:
         out = project(out, columns)
@@ -85,6 +104,15 @@ def build_shifted_model_table(
     payload = [c for c in records.columns if c not in ("id_cnpj", "_year", "_month", "dt_quarter")]
     rows = prepare_prices(prices, since).drop("dt_safra_dre")
     joined = component_theta_join(
-        rows, records, ["id_cnpj"], "dt_year", "dt_month", "_year", "_month", ["dt_refer"], payload
+        rows,
+        records,
+        ["id_cnpj"],
+        "dt_year",
+        "dt_month",
+        "_year",
+        "_month",
+        ["dt_refer"],
+        payload,
+        keys_from=_calendar(_known(prices, since)),
     )
     return add_target(joined, SERIES, "date", "adj_close", shift)
