@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitscore.functions.columns import col, missing
-from pitscore.operators.ranking import running_counts, score_counts
+from pitscore.operators.ranking import class_counts, running_counts, score_counts
 
 TRENDS = (None, "auto", "auto_asc_desc", "ascending", "descending", "peak", "valley")
 _UNPIVOT_CHUNK = 64
@@ -223,10 +223,19 @@ def _variable_counts(df: DataFrame, features: Sequence[str], target: str) -> Dat
     out = None
     for i in range(0, len(features), _UNPIVOT_CHUNK):
         chunk = features[i : i + _UNPIVOT_CHUNK]
-        values = [F.when(~missing(c, types[c]), F.col(c).cast("double")).alias(c) for c in chunk]
-        labelled = df.filter(F.col(target).isin(0, 1)).select(F.col(target).alias("_y"), *values)
-        long = labelled.unpivot(["_y"], chunk, "variable", "score")
-        part = score_counts(long, "score", "_y", ["variable"])
+        pairs = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("variable"),
+                    F.when(~missing(c, types[c]), F.col(c).cast("double")).alias("score"),
+                )
+                for c in chunk
+            ]
+        )
+        # generated rows, not unpivot: their plan is recognized as equal when read twice, so the
+        # counts are computed once and their shuffle reused
+        long = df.filter(F.col(target).isin(0, 1)).select(F.col(target).alias("_y"), F.inline(pairs))
+        part = class_counts(long, "score", "_y", ["variable"])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -19,8 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import count_if
-
 _DRAWS_PER_RANGE = 4
 _MAX_RANGES = 1024
 
@@ -31,20 +29,18 @@ def default_ranges(spark: SparkSession) -> int:
     return min(_MAX_RANGES, max(16, 1 << (wanted - 1).bit_length()))
 
 
-def score_counts(
-    df: DataFrame, score: str, target: str, groups: Sequence[str] = ()
-) -> DataFrame:
-    """``groups, score, n1, n0``: events and non-events per distinct score; NULL targets are left out."""
-    return (
-        df.filter(F.col(target).isin(0, 1))
-        .groupBy(*groups, F.col(score).alias("score"))
-        .agg(
-            count_if(F.col(target) == 1).alias("n1"),
-            count_if(F.col(target) == 0).alias("n0"),
-        )
+def class_counts(df: DataFrame, score: str, target: str, groups: Sequence[str] = ()) -> DataFrame:
+    """``groups, score, n1, n0``: events and non-events per distinct score, for targets 0 and 1 only."""
+    return df.groupBy(*groups, F.col(score).alias("score")).agg(
+        F.count_if(F.col(target) == 1).alias("n1"), F.count_if(F.col(target) == 0).alias("n0")
     )
 
 
+def score_counts(df: DataFrame, score: str, target: str, groups: Sequence[str] = ()) -> DataFrame:
+    """``class_counts`` with NULL and other targets left out."""
+    return class_counts(df.filter(F.col(target).isin(0, 1)), score, target, groups)
+
+
 def _cut_points(counts: DataFrame, groups: Sequence[str], ranges: int) -> DataFrame:
     drawn = (
         counts.filter(F.col("n1") + F.col("n0") > 0)
@@ -82,16 +78,22 @@ def running_counts(
     if not keep_missing:
         counts = counts.filter(F.col("score").isNotNull())
     cuts = _cut_points(counts, groups, ranges).scalar()
-    ranged = _with_range(counts.withColumn("_cuts", cuts), ranges).select(*counts.columns, "_range")
+    # text keys without NULLs, so that a NULL group joins like any other
+    keys = [f"_k{i}" for i in range(2 * len(groups))]
+    named = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups]
+    named += [F.col(g).isNull() for g in groups]
+    ranged = _with_range(counts.withColumn("_cuts", cuts), ranges).select(
+        *counts.columns, "_range", *[k.alias(n) for k, n in zip(named, keys, strict=True)]
+    )
     # one row per group and range: bounded, so these windows stay small
-    below = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
+    below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = (
-        ranged.groupBy(*groups, "_range")
+        ranged.groupBy(*keys, "_range")
         .agg(F.sum("n1").alias("_s1"), F.sum("n0").alias("_s0"))
         .select(
-            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-            F.col("_range").alias("_r"),
+            *keys,
+            "_range",
             F.coalesce(F.sum("_s1").over(below), F.lit(0)).alias("_b1"),
             F.coalesce(F.sum("_s0").over(below), F.lit(0)).alias("_b0"),
             F.sum("_s1").over(whole).alias("t1"),
@@ -99,15 +101,13 @@ def running_counts(
         )
     )
     inside = (
-        Window.partitionBy(*groups, "_range")
+        Window.partitionBy(*keys, "_range")
         .orderBy("score")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.withColumn("_c1", F.sum("n1").over(inside)).withColumn("_c0", F.sum("n0").over(inside))
-    cond = F.col("_range") == F.col("_r")
-    for i, g in enumerate(groups):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, cond).select(
+    # the join keys are the window's partition keys: the running counts are not shuffled again
+    return local.join(offsets, [*keys, "_range"]).select(
         *groups,
         "score",
         "n1",
