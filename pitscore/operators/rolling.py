@@ -1,14 +1,15 @@
 """Rolling features over the last N rows of a series, N up to a year of trading days.
 
 A sliding frame costs N updates per row in Spark, so a family of a dozen windows up to 360 rows costs
-over a thousand. Here short frames (up to ``TILE`` rows) are evaluated once, and every longer window is
-put together from short ones ending earlier, fetched by ``lag``:
+over a thousand. Here only frames of up to ``UNIT`` rows slide. Longer windows are put together in two
+steps from shorter ones ending earlier, fetched by ``lag``:
 
-    window of 160 = 5 tiles of 30 ending 0, 30, 60, 90, 120 rows back + 1 tile of 10 ending 150 back
+    30 rows  = 6 units of 5 ending 0, 5, 10, 15, 20, 25 rows back
+    160 rows = 5 tiles of 30 ending 0, 30, 60, 90, 120 rows back + 1 piece of 10 ending 150 back
 
-Counts, sums and products add up, minima and maxima nest, and the spread follows from per-tile means by
-the pooled-variance identity, so a constant window has exactly zero spread. All families asked for share
-the same (series, order) sort: one shuffle and at most three window nodes, however many features.
+Counts, sums and products add up, minima and maxima nest, and the spread follows from the pieces' means
+by the pooled-variance identity, so a constant window has no spread. All families asked for share the
+same (series, order) sort: one shuffle and at most four window nodes, however many features.
 
 Frames are partial at the start of a series and NULL values are skipped.
 """
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pitscore.functions import vocabulary as V
 from pitscore.operators.series import amplitude
 
+UNIT = 5
 TILE = 30
 
 
 def tile_plan(n: int, tile: int = TILE) -> list[tuple[int, int]]:
-    """``[(length, rows back)]``: how a window of ``n`` rows is covered by short frames."""
+    """``[(length, rows back)]``: how a window of ``n`` rows is covered by pieces of ``tile`` rows."""
     whole, rest = divmod(n, tile)
     plan = [(tile, i * tile) for i in range(whole)]
     return plan + ([(rest, whole * tile)] if rest else [])
@@ -44,6 +46,22 @@ def _sum0(parts: Iterable[str]) -> str:
     return "(" + " + ".join(f"coalesce({p}, 0)" for p in parts) + ")"
 
 
+def _least(parts: Sequence[str]) -> str:
+    return f"least({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _greatest(parts: Sequence[str]) -> str:
+    return f"greatest({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _pooled(counts: Sequence[str], sums: Sequence[str], squares: Sequence[str], mean: str) -> str:
+    """Squared deviations of a window from its pieces' counts, sums and squared deviations."""
+    return _sum0(
+        f"{q} + {n} * pow(try_divide({s}, {n}) - {mean}, 2)"
+        for n, s, q in zip(counts, sums, squares, strict=True)
+    )
+
+
 class RollingFeatures:
     """Collects feature families over one panel, then builds them in shared window nodes.
 
@@ -54,16 +72,28 @@ class RollingFeatures:
     def __init__(self, df: DataFrame, series: Sequence[str], order: Sequence[str]):
         self.df = df
         self.w = f"PARTITION BY {', '.join(map(_q, series))} ORDER BY {', '.join(map(_q, order))}"
+        # stages in order; a stage reads the columns of the stages before it
         self._first: dict[str, str] = {}
-        self._short: dict[str, str] = {}
-        self._back: dict[str, str] = {}
-        self._mid: dict[str, str] = {}
+        self._units: dict[str, str] = {}
+        self._unit_lags: dict[str, str] = {}
+        self._pieces: dict[str, str] = {}
+        self._spreads: dict[str, str] = {}
+        self._tile_lags: dict[str, str] = {}
+        self._means: dict[str, str] = {}
         self._out: dict[str, str] = {}
 
     def build(self, keep: Sequence[str] | None = None) -> DataFrame:
         """``keep`` (default: all input columns) followed by the features."""
         out = self.df
-        for stage in (self._first, self._short, self._back, self._mid):
+        for stage in (
+            self._first,
+            self._units,
+            self._unit_lags,
+            self._pieces,
+            self._spreads,
+            self._tile_lags,
+            self._means,
+        ):
             if stage:
                 out = out.selectExpr("*", *[f"{e} AS {_q(n)}" for n, e in stage.items()])
         base = self.df.columns if keep is None else keep
@@ -71,27 +101,54 @@ class RollingFeatures:
 
     # -- pieces -----------------------------------------------------------------------------------
 
-    def _frame(self, name: str, length: int, agg: str) -> str:
-        key = f"_{name}_{length}"
-        self._short[key] = f"{agg} OVER ({self.w} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
-        return key
-
-    def _lagged(self, column: str, rows: int) -> str:
+    def _lag(self, stage: dict[str, str], column: str, rows: int) -> str:
         if rows == 0:
             return _q(column)
         key = f"{column}_b{rows}"
-        self._back[key] = f"lag({_q(column)}, {rows}) OVER ({self.w})"
+        stage[key] = f"lag({_q(column)}, {rows}) OVER ({self.w})"
         return _q(key)
 
-    def _tiles(self, name: str, n: int, agg: str, skip: int = 0) -> list[str]:
-        return [self._lagged(self._frame(name, k, agg), b + skip) for k, b in tile_plan(n)]
+    def _piece(self, name: str, length: int, agg: str, join) -> str:
+        """Column holding the aggregate of the last ``length`` (at most ``TILE``) rows."""
+        key = f"_{name}_{length}"
+        if length <= UNIT:
+            frame = f"({self.w} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
+            self._units[key] = agg.format(over=f"OVER {frame}")
+        elif key not in self._pieces:
+            parts = [(self._piece(name, k, agg, join), b) for k, b in tile_plan(length, UNIT)]
+            self._pieces[key] = join([self._lag(self._unit_lags, c, b) for c, b in parts])
+        return key
+
+    def _tiles(self, name: str, n: int, agg: str, join, skip: int = 0) -> list[str]:
+        return [
+            self._lag(self._tile_lags, self._piece(name, k, agg, join), b + skip) for k, b in tile_plan(n)
+        ]
 
-    def _total(self, name: str, n: int, agg: str) -> str:
-        return _sum0(self._tiles(name, n, agg))
+    def _total(self, name: str, n: int, value: str, agg: str = "sum") -> str:
+        return _sum0(self._tiles(name, n, f"{agg}({value}) {{over}}", _sum0))
 
-    def _extreme(self, name: str, n: int, agg: str, pick: str, skip: int = 0) -> str:
-        tiles = self._tiles(name, n, agg, skip)
-        return f"{pick}({', '.join(tiles)})" if len(tiles) > 1 else tiles[0]
+    def _extreme(self, value: str, n: int, high: bool, skip: int = 0) -> str:
+        x = _double(value)
+        if high:
+            return _greatest(self._tiles(f"hi_{value}", n, f"max({x}) {{over}}", _greatest, skip))
+        return _least(self._tiles(f"lo_{value}", n, f"min({x}) {{over}}", _least, skip))
+
+    def _squares(self, value: str, length: int) -> str:
+        """Column holding the squared deviations of the last ``length`` rows from their mean."""
+        x, key = _double(value), f"_q_{value}_{length}"
+        if length <= UNIT:
+            return self._piece(f"q_{value}", length, f"var_pop({x}) {{over}} * count({x}) {{over}}", _sum0)
+        if key not in self._spreads:
+            n = self._piece(f"n_{value}", length, f"count({x}) {{over}}", _sum0)
+            s = self._piece(f"s_{value}", length, f"sum({x}) {{over}}", _sum0)
+            units = tile_plan(length, UNIT)
+            self._spreads[key] = _pooled(
+                [self._lag(self._unit_lags, f"_n_{value}_{k}", b) for k, b in units],
+                [self._lag(self._unit_lags, f"_s_{value}_{k}", b) for k, b in units],
+                [self._lag(self._unit_lags, self._squares(value, k), b) for k, b in units],
+                f"try_divide({_q(s)}, {_q(n)})",
+            )
+        return key
 
     # -- families ---------------------------------------------------------------------------------
 
@@ -99,20 +156,17 @@ class RollingFeatures:
         """``amt_avg_/std_/min_/max_<label>_<N>``: mean, sample deviation, minimum, maximum."""
         label, x = label or value, _double(value)
         for n in windows:
-            counts = self._tiles(f"n_{value}", n, f"count({x})")
-            sums = self._tiles(f"s_{value}", n, f"sum({x})")
-            spreads = self._tiles(f"v_{value}", n, f"var_pop({x})")
+            counts = self._tiles(f"n_{value}", n, f"count({x}) {{over}}", _sum0)
+            sums = self._tiles(f"s_{value}", n, f"sum({x}) {{over}}", _sum0)
+            squares = [self._lag(self._tile_lags, self._squares(value, k), b) for k, b in tile_plan(n)]
             size, mean = f"_size_{value}_{n}", f"_mean_{value}_{n}"
-            self._mid[size] = _sum0(counts)
-            self._mid[mean] = f"try_divide({_sum0(sums)}, {_sum0(counts)})"
-            squares = _sum0(
-                f"{c} * ({v} + pow(try_divide({s}, {c}) - {_q(mean)}, 2))"
-                for c, s, v in zip(counts, sums, spreads, strict=True)
-            )
+            self._means[size] = _sum0(counts)
+            self._means[mean] = f"try_divide({_sum0(sums)}, {_sum0(counts)})"
+            total = squares[0] if len(squares) == 1 else _pooled(counts, sums, squares, _q(mean))
             self._out[f"amt_avg_{label}_{n}"] = _q(mean)
-            self._out[f"amt_std_{label}_{n}"] = f"sqrt(try_divide({squares}, greatest({_q(size)} - 1, 0)))"
-            self._out[f"amt_min_{label}_{n}"] = self._extreme(f"lo_{value}", n, f"min({x})", "least")
-            self._out[f"amt_max_{label}_{n}"] = self._extreme(f"hi_{value}", n, f"max({x})", "greatest")
+            self._out[f"amt_std_{label}_{n}"] = f"sqrt(try_divide({total}, greatest({_q(size)} - 1, 0)))"
+            self._out[f"amt_min_{label}_{n}"] = self._extreme(value, n, high=False)
+            self._out[f"amt_max_{label}_{n}"] = self._extreme(value, n, high=True)
         return self
 
     def changes(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
@@ -131,11 +185,11 @@ class RollingFeatures:
         x = _double(value)
         t = f"CASE WHEN {x} IS NOT NULL THEN _t END"
         for n in windows:
-            size = self._total(f"n_{value}", n, f"count({x})")
-            st = self._total(f"t_{value}", n, f"sum({t})")
-            sx = self._total(f"s_{value}", n, f"sum({x})")
-            stt = self._total(f"tt_{value}", n, f"sum(({t}) * _t)")
-            stx = self._total(f"tx_{value}", n, f"sum(_t * {x})")
+            size = self._total(f"n_{value}", n, x, "count")
+            st = self._total(f"t_{value}", n, t)
+            sx = self._total(f"s_{value}", n, x)
+            stt = self._total(f"tt_{value}", n, f"({t}) * _t")
+            stx = self._total(f"tx_{value}", n, f"_t * {x}")
             self._out[f"amt_beta_{label or value}_{n}"] = (
                 f"try_divide({size} * {stx} - {st} * {sx}, {size} * {stt} - {st} * {st})"
             )
@@ -147,12 +201,8 @@ class RollingFeatures:
         """``cat_<label>_broke_high_<N>`` / ``_low_``: 1 when beyond all of the previous N rows."""
         x = _double(value)
         for n in windows:
-            if high:
-                side, op = "high", ">"
-                edge = self._extreme(f"hi_{value}", n, f"max({x})", "greatest", skip=1)
-            else:
-                side, op = "low", "<"
-                edge = self._extreme(f"lo_{value}", n, f"min({x})", "least", skip=1)
+            side, op = ("high", ">") if high else ("low", "<")
+            edge = self._extreme(value, n, high, skip=1)
             self._out[f"cat_{label or value}_broke_{side}_{n}"] = f"CAST({x} {op} {edge} AS INT)"
         return self
 
@@ -162,9 +212,9 @@ class RollingFeatures:
         self._first[move] = f"{_double(value)} - lag({_double(value)}, 1) OVER ({self.w})"
         d = _q(move)
         for n in windows:
-            moves = self._total(f"m_{value}", n, f"count({d})")
-            gains = self._total(f"g_{value}", n, f"sum(CASE WHEN {d} > 0 THEN {d} WHEN {d} <= 0 THEN 0D END)")
-            losses = self._total(f"l_{value}", n, f"sum(CASE WHEN {d} < 0 THEN -{d} WHEN {d} >= 0 THEN 0D END)")
+            moves = self._total(f"m_{value}", n, d, "count")
+            gains = self._total(f"g_{value}", n, f"CASE WHEN {d} > 0 THEN {d} WHEN {d} <= 0 THEN 0D END")
+            losses = self._total(f"l_{value}", n, f"CASE WHEN {d} < 0 THEN -{d} WHEN {d} >= 0 THEN 0D END")
             self._out[f"amt_IFR_{label or value}_{n}"] = (
                 f"CASE WHEN {moves} > 0 THEN CASE WHEN {losses} = 0 THEN 100D "
                 f"ELSE 100 - 100D / (1 + {gains} / {losses}) END END"
