@@ -248,6 +248,14 @@ def iv_ranking(spark, sf_dir):
     return _iv(spark, sf_dir).withColumn("iv", F.round("iv", 9))
 
 
+def iv_sketched(spark, sf_dir):
+    """Prebin edges from quantile sketches, so the values are close to ``iv_ranking``, not equal."""
+    lines = _lines_with_gaps(spark, sf_dir).withColumn(
+        "cat_target", F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
+    )
+    return binning.iv_table(lines, IV_FEATURES, "cat_target", accuracy=1000)
+
+
 def iv_cap(spark, sf_dir):
     return binning.features_below_cap(_iv(spark, sf_dir), IV_CAP).select("name")
 
@@ -386,14 +394,14 @@ def statement_rolling_features(spark, sf_dir):
 
 
 def parquet_roundtrip(spark, sf_dir):
-    path = f"{io.work_dir(spark)}/scored-by-year"
+    path = io.scratch_path(spark, "scored-by-year")
     io.write_parquet(fixtures.scored(spark, sf_dir), path)
     back = io.read_parquet(spark, path).filter(F.col("dt_year") >= 2000)
     return back.groupBy("dt_year").agg(F.count(F.lit(1)).alias("n"), F.sum("cat_target").alias("events"))
 
 
 def csv_roundtrip(spark, sf_dir):
-    path = f"{io.work_dir(spark)}/iv-table"
+    path = io.scratch_path(spark, "iv-table")
     io.write_csv(_iv(spark, sf_dir), path)
     back = io.read_iv_csv(spark, path)
     return binning.features_below_cap(back, IV_CAP).select("name", F.round("iv", 9).alias("iv"))
@@ -401,7 +409,7 @@ def csv_roundtrip(spark, sf_dir):
 
 def metrics_table(spark, sf_dir):
     s = _split_scores(spark, sf_dir)
-    path = f"{io.work_dir(spark)}/metrics"
+    path = io.scratch_path(spark, "metrics")
     cells = metrics.confusion(s, "cat_target", "prediction", ["split"])
     per_month = metrics.ks_by_date_ref(s, "dt_month", "cat_target", "prob", ["split"])
     lines = io.metric_rows(
@@ -496,7 +504,7 @@ def model_roundtrip(spark, sf_dir):
     model = modeling.train(
         panel.filter(F.col("split") == "train"), MODEL_FEATURES, "cat_target", "forest", numTrees=5
     )
-    path = f"{io.work_dir(spark)}/model"
+    path = io.scratch_path(spark, "model")
     io.save_model(model, path)
     out = modeling.score(io.load_model(path), panel)
     return out.groupBy("split", "prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -532,6 +540,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "optimal_bins": optimal_bins,
     "binning_table": binning_table,
     "iv_ranking": iv_ranking,
+    "iv_sketched": iv_sketched,
     "iv_cap": iv_cap,
     "iv_top": iv_top,
     "confusion": confusion,

@@ -15,6 +15,8 @@ Intervals are right-closed. A bin without events or without non-events adds 0 to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,31 +215,76 @@ def risk_group(
     return group
 
 
-def _variable_counts(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """``variable, score, n1, n0`` per distinct value; missing values keep a NULL score.
+def _as_rows(
+    df: DataFrame, features: Sequence[str], target: str, edges: dict[str, list[float]] | None = None
+) -> list[DataFrame]:
+    """``_y, variable, score`` rows, one frame per chunk of features; missing values have a NULL score.
+    With ``edges``, also ``_slot``: how many of the feature's edges lie below the value.
 
-    Features become rows in chunks, so generated code stays small. Each chunk reads only its columns
-    and equal values combine map-side.
+    Chunks keep generated code small and each reads only its columns. The rows are generated, not
+    unpivoted: such a plan is recognized as equal when read twice, so its shuffle is reused.
     """
     types = dict(df.dtypes)
-    out = None
+
+    def pair(c):
+        value = F.when(~missing(c, types[c]), F.col(c).cast("double"))
+        fields = [F.lit(c).alias("variable"), value.alias("score")]
+        if edges is not None:
+            below = [(value > e).cast("int") for e in edges[c]]
+            fields.append(F.coalesce(reduce(add, below, F.lit(0)), F.lit(0)).alias("_slot"))
+        return F.struct(*fields)
+
+    frames = []
     for i in range(0, len(features), _UNPIVOT_CHUNK):
-        chunk = features[i : i + _UNPIVOT_CHUNK]
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("variable"),
-                    F.when(~missing(c, types[c]), F.col(c).cast("double")).alias("score"),
-                )
-                for c in chunk
-            ]
+        pairs = F.array(*[pair(c) for c in features[i : i + _UNPIVOT_CHUNK]])
+        frames.append(
+            df.filter(F.col(target).isin(0, 1)).select(F.col(target).alias("_y"), F.inline(pairs))
         )
-        # generated rows, not unpivot: their plan is recognized as equal when read twice, so the
-        # counts are computed once and their shuffle reused
-        long = df.filter(F.col(target).isin(0, 1)).select(F.col(target).alias("_y"), F.inline(pairs))
-        part = class_counts(long, "score", "_y", ["variable"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    return frames
+
+
+def _stack(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _exact_prebins(
+    df: DataFrame, features: Sequence[str], target: str, max_prebins: int, ranges: int | None
+) -> DataFrame:
+    counts = _stack([class_counts(f, "score", "_y", ["variable"]) for f in _as_rows(df, features, target)])
+    counts = counts.withColumn("_gone", F.col("score").isNull())
+    return prebins(counts, ["variable", "_gone"], max_prebins, ranges, keep_missing=True)
+
+
+def fit_edges(
+    df: DataFrame, features: Sequence[str], target: str, max_prebins: int = 10, accuracy: int = 1000
+) -> dict[str, list[float]]:
+    """Approximate prebin edges per feature from one quantile sketch each. At most ``max_prebins - 1``
+    numbers per feature reach the driver; sketches of different features merge in different tasks."""
+    wanted = [k / max_prebins for k in range(1, max_prebins)]
+    edges: dict[str, list[float]] = {c: [] for c in features}
+    for frame in _as_rows(df, features, target):
+        quantiles = F.percentile_approx("score", wanted, accuracy)
+        for row in frame.groupBy("variable").agg(quantiles.alias("edges")).collect():
+            edges[row["variable"]] = sorted(set(row["edges"] or []))
+    return edges
+
+
+def _sketched_prebins(
+    df: DataFrame, features: Sequence[str], target: str, max_prebins: int, accuracy: int
+) -> DataFrame:
+    """Prebins cut at sketched edges: only (variable, slot) totals are shuffled, never values."""
+    edges = fit_edges(df, features, target, max_prebins, accuracy)
+    frames = [
+        rows.groupBy("variable", F.col("score").isNull().alias("_gone"), "_slot").agg(
+            F.min("score").alias("lo"),
+            F.max("score").alias("hi"),
+            F.count_if(F.col("_y") == 1).alias("n1"),
+            F.count_if(F.col("_y") == 0).alias("n0"),
+        )
+        for rows in _as_rows(df, features, target, edges)
+    ]
+    w = Window.partitionBy("variable", "_gone").orderBy("_slot")
+    return _stack(frames).withColumn("prebin", F.row_number().over(w)).drop("_slot")
 
 
 def feature_bins(
@@ -249,12 +296,18 @@ def feature_bins(
     min_bin_share: float = 0.1,
     trend: str | None = "auto",
     ranges: int | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """Optimal bins of every feature, with missing values in a bin of their own (``bin`` 0)."""
-    counts = _variable_counts(df, features, target).withColumn("_gone", F.col("score").isNull())
-    groups = ["variable", "_gone"]
-    pre = prebins(counts, groups, max_prebins, ranges, keep_missing=True)
-    bins = merge_prebins(pre, groups, min_n_bins, None, min_bin_share, trend)
+    """Optimal bins of every feature, with missing values in a bin of their own (``bin`` 0).
+
+    Prebins are exact unless ``accuracy`` is given: then their edges come from quantile sketches, which
+    suits very large tables of mostly unique values. Counts and IV are exact for the bins either way.
+    """
+    if accuracy is None:
+        pre = _exact_prebins(df, features, target, max_prebins, ranges)
+    else:
+        pre = _sketched_prebins(df, features, target, max_prebins, accuracy)
+    bins = merge_prebins(pre, ["variable", "_gone"], min_n_bins, None, min_bin_share, trend)
     return bins.withColumn("bin", F.when(F.col("_gone"), 0).otherwise(F.col("bin"))).drop("_gone")
 
 

@@ -98,9 +98,14 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors and
     still allows column pruning and filter pushdown."""
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

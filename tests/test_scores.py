@@ -192,3 +192,14 @@ def test_information_value_edges(spark):
     bins = binning.feature_bins(df, ["gaps"], "y").filter("bin = 0").collect()
     assert bins[0]["n1"] + bins[0]["n0"] == 50
     assert [r["name"] for r in binning.features_below_cap(binning.iv_table(df, ["good"], "y")).collect()] == ["good"]
+
+
+def test_sketched_edges_equal_exact_ones_at_full_accuracy(spark):
+    rng = random.Random(9)
+    rows = [(rng.random(), float(rng.randrange(6)), None if rng.random() < 0.3 else rng.random()) for _ in range(800)]
+    rows = [(*r, int(rng.random() < 0.2 + 0.6 * r[0])) for r in rows]
+    df = spark.createDataFrame(rows, "unique double, ties double, gaps double, y int")
+    names = ["unique", "ties", "gaps"]
+    exact = binning.feature_bins(df, names, "y").orderBy("variable", "bin").collect()
+    sketched = binning.feature_bins(df, names, "y", accuracy=100000).orderBy("variable", "bin").collect()
+    assert exact == sketched
