@@ -55,7 +55,10 @@ def asof_drop_unmatched(spark, sf_dir):
 def asof_by_period(spark, sf_dir):
     prices, statements = _panel(spark, sf_dir)
     joined = plan.join_statements(
-        plan.prepare_prices(prices, SINCE), plan.prepare_statements(statements), by_period=True
+        plan.prepare_prices(prices, SINCE),
+        plan.prepare_statements(statements),
+        by_period=True,
+        keys_from=plan.with_calendar(plan.known_prices(prices, SINCE)),
     )
     return _text_dates(
         joined.select("date", *SERIES, "dt_safra_dre", "dt_refer", "amt_sales_revenue", "amt_net_profit")

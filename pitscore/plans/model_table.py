@@ -20,12 +20,12 @@ PUBLICATION_DAYS = 90
 SERIES = ["id_cnpj", "ticker"]
 
 
-def _known(prices: DataFrame, since: str) -> DataFrame:
+def known_prices(prices: DataFrame, since: str) -> DataFrame:
     """Rows of known companies after the first day kept; both tests reach the scan."""
     return prices.filter((F.col("id_cnpj") != UNKNOWN_COMPANY) & (F.col("date") > F.lit(since).cast("date")))
 
 
-def _calendar(prices: DataFrame) -> DataFrame:
+def with_calendar(prices: DataFrame) -> DataFrame:
     return prices.select(
         "*",
         F.year("date").alias("dt_year"),
@@ -36,7 +36,7 @@ def _calendar(prices: DataFrame) -> DataFrame:
 
 def prepare_prices(prices: DataFrame, since: str = HISTORY_START) -> DataFrame:
     """One row per (date, id_cnpj, ticker) with calendar columns and the lagged statement period."""
-    return _calendar(keep_one(_known(prices, since), ["date", *SERIES]))
+    return with_calendar(keep_one(known_prices(prices, since), ["date", *SERIES]))
 
 
 def prepare_statements(statements: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def build_model_table(
     The filter stays after the lags, so a price row without a statement still serves as a lag.
     """
     joined = join_statements(
-        prepare_prices(prices, since), prepare_statements(statements), keys_from=_known(prices, since)
+        prepare_prices(prices, since), prepare_statements(statements), keys_from=known_prices(prices, since)
     )
     out = add_target(joined, SERIES, "date", "adj_close", shift)
     if columns is not None:
@@ -113,6 +113,6 @@ def build_shifted_model_table(
         "_month",
         ["dt_refer"],
         payload,
-        keys_from=_calendar(_known(prices, since)),
+        keys_from=with_calendar(known_prices(prices, since)),
     )
     return add_target(joined, SERIES, "date", "adj_close", shift)
