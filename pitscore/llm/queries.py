@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate
+from pitscore.llm import decontaminate, pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
+def word_tokenizer() -> str:
+    """Path of the public word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
+
+
+QUERIES = {"op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""
