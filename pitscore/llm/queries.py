@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate, pack
+from pitscore.llm import decontaminate, pack, quality, rules
+from pitscore.sources.io import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(column: str = "doc_id"):
+    """The remainder by five of the CRC-32 of an id as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5
+
+
+def quality_model(stats: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the labelled documents outside the held-out fold."""
+    return quality.fit(stats, quality.usable_labels(labels).where(fold() != 0))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    stats = materialize(quality.document_statistics(_table(spark, sf_dir, "documents")))
+    model = quality_model(stats, _table(spark, sf_dir, "labels"))
+    scored = quality.score(stats, model)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule verdicts of all documents, against references of their own languages."""
+    return rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     """Path of the public word-level BPE vocabulary."""
     import public_tokenizers
@@ -35,7 +59,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_quality": op2_quality, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""
