@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate, pack, quality, rules
+from pitscore.llm import decontaminate, near, pack, quality, rules
 from pitscore.sources.io import materialize
 
 
@@ -42,6 +42,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = near.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule verdicts of all documents, against references of their own languages."""
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
@@ -59,7 +65,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op2_quality": op2_quality, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_quality": op2_quality, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""
