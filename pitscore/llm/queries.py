@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate, near, pack, quality, rules
+from pitscore.llm import decontaminate, near, ngram, pack, quality, rules
 from pitscore.sources.io import materialize
 
 
@@ -34,6 +34,16 @@ def quality_model(stats: DataFrame, labels: DataFrame) -> quality.Model:
     return quality.fit(stats, quality.usable_labels(labels).where(fold() != 0))
 
 
+def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of the documents outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ngram.train(docs.where(F.coalesce(fold() != 1, F.lit(True))))
+    return ngram.score(docs, model).select(
+        "doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     stats = materialize(quality.document_statistics(_table(spark, sf_dir, "documents")))
@@ -65,7 +75,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op2_quality": op2_quality, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""

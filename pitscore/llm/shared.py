@@ -11,6 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow.fs as pafs
 
+#: Maps a worker keeps open; the system limits them.
+MOST_MAPS = 10_000
 _open: dict[str, np.ndarray] = {}
 
 
@@ -42,6 +44,8 @@ def save(uri: str, array: np.ndarray) -> None:
 def load(uri: str) -> np.ndarray:
     """The array as a read-only memory map; one from a remote store is first copied to this worker."""
     if uri not in _open:
+        if len(_open) >= MOST_MAPS:
+            _open.clear()
         path = _local(uri)
         if path is None:
             store, name = pafs.FileSystem.from_uri(uri)
@@ -53,10 +57,6 @@ def load(uri: str) -> np.ndarray:
     return _open[uri]
 
 
-def forget() -> None:
-    _open.clear()
-
-
 _shipped: set[str] = set()
 
 

@@ -41,3 +41,53 @@ def components(docs, percent=85, width=5):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def kneser_ney(train, texts):
+    """[(n_tokens, n_known, N, base, score)] of an interpolated modified Kneser-Ney bigram model."""
+    import math
+    from collections import Counter
+
+    def toks(t):
+        return [*words((t or "").translate(LOWER)), "</s>"]
+
+    uni, pair = Counter(), Counter()
+    for t in train:
+        w = toks(t)
+        uni.update(w)
+        pair.update(zip(["<s>", *w[:-1]], w, strict=True))
+
+    def disc(counts):
+        n = [sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)]
+        if min(n[:3]) == 0:
+            return [0, 0.5, 0.5, 0.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [0, *[x if 0 < x < k else 0.5 for k, x in enumerate(d, 1)]]
+
+    left, follow, context = Counter(), defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    for (a, b), c in pair.items():
+        left[b] += 1
+        follow[a][min(c, 3)] += 1
+        context[a] += c
+    big, small, v, n = disc(pair.values()), disc(left.values()), len(uni), sum(uni.values())
+    types = len(pair)
+    gamma = sum(small[min(c, 3)] for c in left.values()) / types if types else 1.0
+
+    def p(a, b):
+        q = max(left[b] - small[min(left[b], 3)], 0) / max(types, 1) + gamma / (v + 1)
+        if not context[a]:
+            return q
+        c = pair[a, b]
+        mass = sum(big[k] * follow[a][k] for k in (1, 2, 3))
+        return max(c - big[min(c, 3)], 0) / context[a] + mass / context[a] * q
+
+    out = []
+    for t in texts:
+        w = toks(t)
+        out.append((
+            len(w), sum(uni[x] > 0 for x in w), n,
+            sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w),
+            sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)),
+        ))
+    return out, p, uni
