@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate, near, ngram, pack, quality, rules
+from pitscore.llm import decontaminate, near, ngram, pack, quality, repeats, rules
 from pitscore.sources.io import materialize
 
 
@@ -52,6 +52,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings that start earlier."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     found = near.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -75,7 +80,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""

@@ -91,3 +91,19 @@ def kneser_ney(train, texts):
             sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)),
         ))
     return out, p, uni
+
+
+def repeats(docs, length=100):
+    """{id: text} -> {id: (n_bytes, n_removed, n_spans, kept)}"""
+    first, raw, out = {}, {i: (t or "").encode() for i, t in docs.items()}, {}
+    for i in sorted(raw):
+        for k in range(len(raw[i]) - length + 1):
+            first.setdefault(raw[i][k : k + length], (i, k))
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < (i, k):
+                gone[k : k + length] = b"\1" * length
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return out
