@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontaminate, near, ngram, pack, quality, repeats, rules
+from pitscore.llm import chat, decontaminate, near, ngram, pack, quality, repeats, rules, urls
 from pitscore.sources.io import materialize
 
 
@@ -57,6 +57,37 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
 
 
+#: The rules that the URL query is given: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: Host labels whose pages make up the list of unwanted URLs.
+UNWANTED_LABELS = ("spam-farm", "ads-track", "cheap-pills")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the list holds the canonical URLs of all pages on unwanted hosts."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = F.split(urls.host(F.col("url")), r"\.")
+    unwanted = F.arrays_overlap(labels, F.array(*[F.lit(x) for x in UNWANTED_LABELS]))
+    found = urls.judge(pages, pages.where(unwanted), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own marks, read back from the examples."""
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text"
+    )
+    marked = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    extra = spark.createDataFrame(marked, "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.expand(turns.union(extra)))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     found = near.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -80,7 +111,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""
@@ -106,4 +137,45 @@ ORACLES = {
                sha256(coalesce(array_to_string(m.items, ','), '')) AS items_sha256,
                coalesce(c.n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op4_urls": r"""
+        WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3)
+                          ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+        q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                     lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_.*|ref|fbclid|gclid)(=.*)?$'))) AS params
+              FROM h),
+        c AS (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
+                     || regexp_replace(path, '(/index)?(\.html?)?/*$', '')
+                     || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical
+              FROM q),
+        l AS (SELECT DISTINCT canonical FROM c
+              WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'ads-track', 'cheap-pills'])
+                AND canonical <> ''),
+        rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+              ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        f AS (SELECT page_id, host, path, canonical,
+                     (SELECT max_by({'v': verdict, 'r': rh || rp}, length(rh || rp)) FROM rules
+                      WHERE (c.host = rh OR ends_with(c.host, '.' || rh)) AND starts_with(c.path, rp)) AS m
+              FROM c)
+        SELECT page_id, host, path, m.r AS rule,
+               coalesce(m.v, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM f LEFT JOIN l USING (canonical)""",
+    "op9_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+                     + list_sum(list_transform(['<s>', '</s>', '[INST]', '[/INST]', '[ROLE]', '[/ROLE]'],
+                         lambda c: (length(text) - length(replace(text, c, ''))) // length(c)))
+                     + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS chars
+              FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
