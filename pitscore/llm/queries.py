@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import chat, decontaminate, near, ngram, pack, quality, repeats, rules, urls
+from pitscore.llm import chat, decontaminate, near, ngram, pack, pii, quality, repeats, rules, urls
 from pitscore.sources.io import materialize
 
 
@@ -78,6 +78,17 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS)
+    ]
+    digest = F.sha2(pii.written(F.col("base")), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold the template's own marks, read back from the examples."""
     turns = _table(spark, sf_dir, "conversations").select(
@@ -111,7 +122,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op10_decontaminate": r"""

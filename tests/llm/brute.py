@@ -107,3 +107,29 @@ def repeats(docs, length=100):
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g))
     return out
+
+
+PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def personal(text):
+    """Base spans (start, kind number, end)."""
+    out = []
+    for k, (kind, pattern) in enumerate(PII):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                total = sum((int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9)) for i, c in enumerate(reversed(d)))
+                if not 12 <= len(d) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
