@@ -66,22 +66,22 @@ def _running(sizes: Column) -> Column:
     return F.flatten(moved)
 
 
-def _spans(pieces: Column, found: Column) -> Column:
-    """Matches with their places: ``pieces`` is the text cut at the matches ``found``."""
-    sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
-    places = F.sequence(F.lit(0), F.size(found) - 1)
-    before = _running(sizes)
-
-    def span(i):
-        match = F.get(found, i)
-        start = F.get(before, i) + F.length(F.get(pieces, i))
+def _spans(pieces: Column, found: Column, before: Column) -> Column:
+    """Matches with their places: ``pieces`` is the text cut at the matches ``found``, ``before`` the
+    length of what precedes each piece."""
+    n = F.size(found)
+    rows = F.arrays_zip(
+        before.alias("before"), F.slice(pieces, 1, n).alias("piece"), found.alias("match"), F.slice(pieces, 2, n).alias("next")
+    )
+
+    def span(r):
+        start = r["before"] + F.length(r["piece"])
         return F.struct(
-            start.alias("start"), (start + F.length(match)).alias("end"), match.alias("value"),
-            F.lower(F.right(F.get(pieces, i), F.lit(40))).alias("before"),
-            F.left(F.get(pieces, i + 1), F.lit(1)).alias("after"),
+            start.alias("start"), (start + F.length(r["match"])).alias("end"), r["match"].alias("value"),
+            F.lower(F.right(r["piece"], F.lit(40))).alias("before"), F.left(r["next"], F.lit(1)).alias("after"),
         )
 
-    return F.transform(places, span)
+    return F.transform(rows, span)
 
 
 def _digits(value: Column) -> Column:
@@ -104,7 +104,7 @@ def _exact(kind: int, value: Column) -> Column:
     return (
         F.lit(True),
         F.rlike(value, F.lit(rf"^{BYTE}(?:\.{BYTE}){{3}}$")),
-        F.length(d).between(12, 19) & luhn(d),
+        F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False),
         F.length(d).between(9, 15),
     )[kind]
 
@@ -160,15 +160,23 @@ def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(asked, F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(f"_found{k}")
         for k, (_, p, asked, _) in enumerate(searches)
     ], text.alias("_text"))
-    rows = rows.select(*kept, *[
-        F.when(F.size(f"_found{k}") > 0, F.struct(F.split("_text", p, -1).alias("pieces"), F.col(f"_found{k}").alias("found"))).alias(f"_cut{k}")
-        for k, (_, p, _, _) in enumerate(searches)
+    every = range(len(searches))
+    rows = rows.select(*kept, *[f"_found{k}" for k in every], *[
+        F.when(F.size(f"_found{k}") > 0, F.split("_text", searches[k][1], -1)).alias(f"_pieces{k}") for k in every
     ])
+    rows = rows.withColumns({
+        f"_sizes{k}": F.zip_with(
+            F.slice(f"_pieces{k}", 1, F.size(f"_found{k}")), f"_found{k}",
+            lambda p, m: (F.length(p) + F.length(m)).cast("bigint"),
+        )
+        for k in every
+    })
+    rows = rows.withColumns({f"_before{k}": F.when(F.size(f"_sizes{k}") > 0, _running(F.col(f"_sizes{k}"))) for k in every})
     none = F.array().cast(SPAN_TYPE)
     parts = []
     for k, (kind, _, _, exact) in enumerate(searches):
-        cut = F.col(f"_cut{k}")
-        parts.append(F.coalesce(F.when(cut.isNotNull(), _votes(_spans(cut["pieces"], cut["found"]), kind, exact)), none))
+        spans = _spans(F.col(f"_pieces{k}"), F.col(f"_found{k}"), F.col(f"_before{k}"))
+        parts.append(F.coalesce(F.when(F.col(f"_pieces{k}").isNotNull(), _votes(spans, kind, exact)), none))
     return rows.select(*kept, F.concat(*parts).alias("found"))
 
 
@@ -192,23 +200,22 @@ def estimate(counts: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     given = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1.0).otherwise(0.0) for c in cast])
     for_it = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cast])
     p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), for_it / F.greatest(given, F.lit(1.0))))
+    votes = F.array(F.struct(F.lit("").alias("labeler"), F.lit(0).alias("vote")), *[
+        F.struct(F.lit(v).alias("labeler"), F.col(v).alias("vote")) for v in VOTES
+    ])
     for _ in range(iterations):
-        sums = [F.sum(F.col("n") * p).alias("y1"), F.sum(F.col("n") * (1 - p)).alias("y0")]
-        for v in VOTES:
-            for side in (0, 1):
-                hit = F.when(F.col(v) == side, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * p).alias(f"{v}{side}1"), F.sum(hit * (1 - p)).alias(f"{v}{side}0")]
-        params = counts.groupBy("kind").agg(*sums).collect()
+        rows = counts.withColumn("p", p).select("kind", "n", "p", F.inline(votes)).where("vote >= 0")
+        sums = rows.groupBy("kind", "labeler", "vote").agg(F.sum(F.col("n") * F.col("p")), F.sum(F.col("n") * (1 - F.col("p"))))
+        n = {tuple(r)[:3]: tuple(r)[3:] for r in sums.collect()}  # a row per kind, labeler and vote
         p = F.lit(0.5)
-        for r in params:  # one row per kind
-            odds = F.lit((r["y1"] + 1) / (r["y0"] + 1))
+        for kind in sorted({k for k, _, _ in n}):
+            yes, no = n[kind, "", 0]
+            odds = F.lit((yes + 1) / (no + 1))
             for v in VOTES:
-                ratio = F.lit(1.0)
-                for side in (0, 1):
-                    share = [(r[f"{v}{side}{y}"] + 1) / (r[f"{v}0{y}"] + r[f"{v}1{y}"] + 2) for y in (0, 1)]
-                    ratio = F.when(F.col(v) == side, F.lit(share[1] / share[0])).otherwise(ratio)
-                odds = odds * ratio
-            p = F.when(F.col("kind") == r["kind"], odds / (1 + odds)).otherwise(p)
+                got = [n.get((kind, v, side), (0, 0)) for side in (0, 1)]
+                share = [[(got[side][y] + 1) / (got[0][y] + got[1][y] + 2) for y in (0, 1)] for side in (0, 1)]
+                odds = odds * F.when(F.col(v) == 0, share[0][0] / share[0][1]).when(F.col(v) == 1, share[1][0] / share[1][1]).otherwise(1.0)
+            p = F.when(F.col("kind") == kind, odds / (1 + odds)).otherwise(p)
     return counts.withColumn("p", p)
 
 
@@ -248,7 +255,7 @@ def select_spans(found: Column, weights: list[float] | None, threshold: float =
             return ~s["base"] & (1 / (1 + F.exp(-(logit + weights[-1]))) >= threshold) & clear
 
         kept = F.concat(kept, F.transform(F.filter(found, probable), plain))
-    return F.array_sort(F.array_distinct(kept))
+    return F.array_sort(kept)
 
 
 def written(spans: Column) -> Column:
