@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitscore.llm.shared import ship
+from pitscore.llm import packed
+from pitscore.llm.shared import load, save, ship
 from pitscore.llm.text import Prefix, Texts, blocks, count_by, lower_ascii, mix, scan, seeds, windows
-from pitscore.sources.io import materialize
+from pitscore.sources.io import materialize, scratch_path
 
 WIDTH = 5
 ROWS, BANDS = 7, 36
@@ -261,6 +262,47 @@ def _across(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("head", "mark", "block", "turn").applyInArrow(links, "a bigint, b bigint")
 
 
+def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is among the distinct ``ids``, without shuffling the texts: the ids
+    lie as sorted arrays in the shared folder and are mapped by the workers."""
+    spark = texts.sparkSession
+    folder = scratch_path(spark, "ids")
+    bits = max(2, (ids.count() >> 20).bit_length())
+    ship(spark)
+
+    def send(batches):
+        for batch in batches:
+            h = np.sort(mix(np.asarray(batch.column(0)).view(np.uint64)))
+            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            yield packed.rows(used, [h[cuts[k] : cuts[k + 1]].tobytes() for k in used])
+
+    def write(batches):
+        for shard, blobs in packed.gathered(batches):
+            h = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+            save(f"{folder}/ids-{shard:06d}.npy", h)
+            yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
+
+    sent = ids.mapInArrow(send, packed.SCHEMA)
+    packed.to_shards(sent, 1 << bits).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    def keep(batches):
+        for batch in batches:
+            h = mix(np.asarray(batch.column(0)).view(np.uint64))
+            found = np.zeros(len(h), bool)
+            for shard in np.unique(h >> np.uint64(64 - bits)).tolist():
+                try:
+                    known = load(f"{folder}/ids-{shard:06d}.npy")
+                except FileNotFoundError:
+                    continue  # no id in this shard
+                own = np.flatnonzero(h >> np.uint64(64 - bits) == shard)
+                at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
+                found[own] = known[at] == h[own]
+            yield batch.filter(pa.array(found))
+
+    return texts.mapInArrow(keep, texts.schema)
+
+
 def near_duplicates(
     docs: DataFrame, rows: int = ROWS, bands: int = BANDS, percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
@@ -288,7 +330,7 @@ def near_duplicates(
     stars = materialize(buckets.join(heads, "bucket").where("id <> head").select("head", "id").distinct())
     ids = stars.select("id").union(stars.select("head")).distinct()
     texts = source.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
-    texts = materialize(texts.join(ids, "id", "left_semi").distinct())
+    texts = materialize(_with_ids(texts, ids).distinct())
     compared = materialize(_compare(stars, texts, percent, width))
     links = compared.where("linked").select(F.col("head").alias("a"), F.col("id").alias("b"))
     labels = connected(links)
