@@ -79,8 +79,10 @@ def sketches(key: np.ndarray, who: np.ndarray, n: int, size: int) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def features(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
-    """Per row: ``n_shingles``, ``words_key`` (digest of the lower-cased words; null without words), the
+def features(
+    docs: DataFrame, rows: int = ROWS, bands: int = BANDS, width: int = WIDTH, keep: tuple = ("doc_id",)
+) -> DataFrame:
+    """Per row: the columns ``keep``, ``n_shingles``, ``words_key`` (digest of the lower-cased words; null without words), the
     ``bands`` (a hash each)."""
 
     def work(t: Texts):
@@ -112,7 +114,7 @@ def features(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, width: int =
             "bands": pa.array([h[i].view(np.int64) if full[i] else None for i in range(n)], pa.list_(pa.int64())),
         }
 
-    return scan(docs, ["doc_id"], "text", "n_shingles bigint, words_key binary, bands array<bigint>", work)
+    return scan(docs, list(keep), "text", "n_shingles bigint, words_key binary, bands array<bigint>", work)
 
 
 def _fingerprint(pairs: DataFrame) -> tuple:
@@ -262,51 +264,62 @@ def _across(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("head", "mark", "block", "turn").applyInArrow(links, "a bigint, b bigint")
 
 
-def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose id is among the distinct ``ids``, without shuffling the texts: the ids
-    lie as sorted arrays in the shared folder and are mapped by the workers."""
-    spark = texts.sparkSession
-    folder = scratch_path(spark, "ids")
-    bits = max(2, (ids.count() >> 20).bit_length())
-    ship(spark)
-
-    def send(batches):
-        for batch in batches:
-            h = np.sort(mix(np.asarray(batch.column(0)).view(np.uint64)))
-            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            yield packed.rows(used, [h[cuts[k] : cuts[k + 1]].tobytes() for k in used])
-
-    def write(batches):
-        for shard, blobs in packed.gathered(batches):
-            h = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
-            save(f"{folder}/ids-{shard:06d}.npy", h)
-            yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
-
-    sent = ids.mapInArrow(send, packed.SCHEMA)
-    packed.to_shards(sent, 1 << bits).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
-
-    def keep(batches):
-        for batch in batches:
-            h = mix(np.asarray(batch.column(0)).view(np.uint64))
-            found = np.zeros(len(h), bool)
-            for shard in np.unique(h >> np.uint64(64 - bits)).tolist():
-                try:
-                    known = load(f"{folder}/ids-{shard:06d}.npy")
-                except FileNotFoundError:
-                    continue  # no id in this shard
-                own = np.flatnonzero(h >> np.uint64(64 - bits) == shard)
-                at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
-                found[own] = known[at] == h[own]
-            yield batch.filter(pa.array(found))
-
-    return texts.mapInArrow(keep, texts.schema)
+class KeySet:
+    """Distinct 64-bit keys as sorted arrays in the shared folder, mapped by the workers: rows are tested
+    against it where they are, without a shuffle."""
+
+    def __init__(self, keys: DataFrame):
+        spark = keys.sparkSession
+        self.folder, self.bits = scratch_path(spark, "keys"), max(2, (keys.count() >> 20).bit_length())
+        folder, bits = self.folder, self.bits
+        ship(spark)
+
+        def send(batches):
+            for batch in batches:
+                h = np.sort(mix(np.asarray(batch.column(0)).view(np.uint64)))
+                cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                yield packed.rows(used, [h[cuts[k] : cuts[k + 1]].tobytes() for k in used])
+
+        def write(batches):
+            for shard, blobs in packed.gathered(batches):
+                h = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+                save(f"{folder}/keys-{shard:06d}.npy", h)
+                yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
+
+        sent = keys.mapInArrow(send, packed.SCHEMA)
+        packed.to_shards(sent, 1 << bits).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        h = mix(keys.view(np.uint64))
+        shards, found = h >> np.uint64(64 - self.bits), np.zeros(len(h), bool)
+        for shard in np.unique(shards).tolist():
+            try:
+                known = load(f"{self.folder}/keys-{shard:06d}.npy")
+            except FileNotFoundError:
+                continue  # no key in this shard
+            own = np.flatnonzero(shards == shard)
+            at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
+            found[own] = known[at] == h[own]
+        return found
+
+    def filter(self, df: DataFrame, key: str, inside: bool = True) -> DataFrame:
+        """The rows whose ``key`` (not null) is in the set, or is not."""
+        place, holds = df.columns.index(key), self.holds
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(holds(np.asarray(batch.column(place))) == inside))
+
+        return df.mapInArrow(run, df.schema)
 
 
 def near_duplicates(
-    docs: DataFrame, rows: int = ROWS, bands: int = BANDS, percent: int = PERCENT, width: int = WIDTH
+    docs: DataFrame, rows: int = ROWS, bands: int = BANDS, percent: int = PERCENT, width: int = WIDTH,
+    keep: tuple = (),
 ) -> DataFrame:
-    """Per row of ``docs`` (``doc_id`` integer, ``text``): ``doc_id, n_shingles, component_id``.
+    """Per row of ``docs`` (``doc_id`` integer, ``text``): ``doc_id, n_shingles, component_id`` and the
+    further columns ``keep``.
 
     Documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct word
     shingles; ``component_id`` is the smallest id reachable over links. Texts without words, null ones too,
@@ -317,9 +330,9 @@ def near_duplicates(
     All texts that share a band's bucket are compared exactly, directly or by their differences from a
     common head. A pair at exactly 85 % shares no band with probability 1e-6, pairs of higher similarity
     far less often.
-    """
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    found = materialize(features(source, rows, bands, width))
+    """
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), *keep)
+    found = materialize(features(source, rows, bands, width, ("doc_id", *keep)))
     known = found.where("words_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("words_key").agg(F.min("doc_id").alias("id")))
     first = classes.select("words_key", F.col("id").alias("doc_id"))
@@ -330,7 +343,7 @@ def near_duplicates(
     stars = materialize(buckets.join(heads, "bucket").where("id <> head").select("head", "id").distinct())
     ids = stars.select("id").union(stars.select("head")).distinct()
     texts = source.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
-    texts = materialize(_with_ids(texts, ids).distinct())
+    texts = materialize(KeySet(ids).filter(texts, "id").distinct())
     compared = materialize(_compare(stars, texts, percent, width))
     links = compared.where("linked").select(F.col("head").alias("a"), F.col("id").alias("b"))
     labels = connected(links)
@@ -343,5 +356,28 @@ def near_duplicates(
     nodes = nodes.select("id", F.coalesce("component", "id").alias("component")).join(roots, "component", "left")
     nodes = nodes.select("id", F.coalesce("root", "component").alias("component_id"))
     by_class = classes.join(nodes, "id").select("words_key", "component_id")
-    out = found.select("doc_id", "n_shingles", "words_key").join(by_class, "words_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = found.drop("bands").join(by_class, "words_key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, one row of each near-duplicate component: that of smallest id, and of
+    rows repeated with that id one (of different texts the one of smallest hash). Rows without an id or
+    without words all stay. Which rows go is looked up by a hash of id and text, so texts are not shuffled.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = materialize(near_duplicates(keyed, keep=(key,)).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    copies = found.where("doc_id <> component_id").select(key)
+    firsts = found.where("doc_id = component_id").groupBy("doc_id", key).agg(F.count("*").alias("n"))
+    least = firsts.groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least <> most")
+    others = firsts.join(least, "doc_id").where(F.col(key) != F.col("least")).select(key)
+    rest = KeySet(copies.union(others).distinct()).filter(keyed, key, inside=False)
+    repeated = materialize(firsts.where("n > 1").select(key).distinct())
+    if repeated.isEmpty():
+        return rest.drop(key)
+    again = KeySet(repeated)
+    once = again.filter(rest, key).dropDuplicates([key])
+    return again.filter(rest, key, inside=False).union(once).drop(key)

@@ -113,7 +113,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> di
             unique, which = np.unique(keys, return_inverse=True)
             n = np.bincount(which, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(unique)), pa.array(unique.view(np.int64)), pa.array(n)], ["lang", "word", "n"]
+                [pa.array([lang] * len(unique), pa.string()), pa.array(unique.view(np.int64)), pa.array(n)], ["lang", "word", "n"]
             )
 
         held = defaultdict(int)
@@ -135,7 +135,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> di
             yield flush(lang)
         for lang, h in chars.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang + "#"] * N_CLASSES), pa.array(np.arange(N_CLASSES)), pa.array(h)], ["lang", "word", "n"]
+                [pa.array([lang + "#"] * N_CLASSES, pa.string()), pa.array(np.arange(N_CLASSES)), pa.array(h)], ["lang", "word", "n"]
             )
 
     counts = materialize(
