@@ -10,17 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitscore.functions import vocabulary as V
 from pitscore.operators import asof, binning, metrics, modeling, profile, rolling, rows, series, splits
-from pitscore.operators.selection import shadow_selection
+from pitscore.operators.selection import hash_position, shadow_frame, shadow_selection
 from pitscore.operators.statements import statement_lags, statement_rolling
 from pitscore.plans import model_table as plan
 from pitscore.plans import scoring
 from pitscore.sources import fixtures, io
 
 SERIES = plan.SERIES
-IV_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "discount_gap"]
+IV_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "discount_gap", "status_leak"]
 SINCE = "1995-03-31"  # the shared tables start in 1995; the library's own default start is later
-IV_CAP = 0.0004
+IV_CAP = 0.1  # between the features that know nothing and the one that knows too much
 CUTS = [0.01, 0.03, 0.05, 0.06, 0.08, 0.09]
 STATEMENT_AMOUNTS_SHOWN = ["amt_sales_revenue", "amt_financial_results", "amt_net_profit"]
 
@@ -154,6 +155,12 @@ def _lines_with_gaps(spark, sf_dir):
     )
 
 
+def _lines_with_leak(spark, sf_dir):
+    """With a feature that knows too much of the target."""
+    known = F.when(F.col("l_linestatus") == "F", 2).otherwise(0)
+    return _lines_with_gaps(spark, sf_dir).withColumn("status_leak", F.col("l_linenumber") + known)
+
+
 def describe_columns(spark, sf_dir):
     lines = _lines_with_gaps(spark, sf_dir).withColumn(
         "flag_gap", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag"))
@@ -241,7 +248,7 @@ def binning_table(spark, sf_dir):
 
 
 def _iv(spark, sf_dir):
-    lines = _lines_with_gaps(spark, sf_dir).withColumn(
+    lines = _lines_with_leak(spark, sf_dir).withColumn(
         "cat_target", F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
     )
     return binning.iv_table(lines, IV_FEATURES, "cat_target")
@@ -253,7 +260,7 @@ def iv_ranking(spark, sf_dir):
 
 def iv_sketched(spark, sf_dir):
     """Prebin edges from quantile sketches, so the values are close to ``iv_ranking``, not equal."""
-    lines = _lines_with_gaps(spark, sf_dir).withColumn(
+    lines = _lines_with_leak(spark, sf_dir).withColumn(
         "cat_target", F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
     )
     return binning.iv_table(lines, IV_FEATURES, "cat_target", accuracy=1000)
@@ -338,11 +345,7 @@ def rolling_stats(spark, sf_dir):
 
 def rolling_changes(spark, sf_dir):
     panel = fixtures.prices(spark, sf_dir).withColumn("amplitude_close_high_price", series.amplitude())
-    lags = {
-        f"pct_tx_{c}_{n}d": (c, n)
-        for c in ("adj_close", "high_price", "low_price", "amplitude_close_high_price")
-        for n in (5, 30, 360)
-    }
+    lags = {f"pct_tx_{c}_{n}d": (c, n) for c in V.CHANGE_COLUMNS for n in V.ROLLING_WINDOWS}
     out = series.percentage_changes(panel, SERIES, "date", lags)
     return _text_dates(out.select("date", *SERIES, *lags))
 
@@ -370,8 +373,25 @@ def rsi(spark, sf_dir):
     )
 
 
+def price_features_full(spark, sf_dir):
+    """Every price feature: how many values and their sum per ticker and year."""
+    full = rolling.price_features(fixtures.prices(spark, sf_dir), SERIES, ["date"])
+    full = full.withColumn("dt_year", F.year("date"))
+    return profile.feature_totals(full, V.price_feature_columns(), ["ticker", "dt_year"])
+
+
+def model_table_full(spark, sf_dir):
+    """Every feature of the model table, from a panel with duplicates, an unknown company, late versions
+    and missing dates: how many values and their sum per ticker and year."""
+    full = plan.build_full_model_table(
+        fixtures.messy_prices(spark, sf_dir), fixtures.messy_statements(spark, sf_dir), SINCE
+    )
+    features = [*V.price_feature_columns(), *V.statement_feature_columns(), "cat_target", "var_target"]
+    return profile.feature_totals(full, features, ["ticker", "dt_year"])
+
+
 def price_feature_table(spark, sf_dir):
-    """All price features in one plan, summarized per ticker and year."""
+    """The flags and two extremes of the price features, summarized per ticker and year."""
     full = rolling.price_features(fixtures.prices(spark, sf_dir), SERIES, ["date"])
     flags = [c for c in full.columns if c.startswith("cat_")]
     return full.groupBy("ticker", F.year("date").alias("dt_year")).agg(
@@ -405,7 +425,8 @@ def parquet_roundtrip(spark, sf_dir):
 
 def csv_roundtrip(spark, sf_dir):
     path = io.scratch_path(spark, "iv-table")
-    io.write_csv(_iv(spark, sf_dir), path)
+    # a wider file in another order: columns are found by name
+    io.write_csv(_iv(spark, sf_dir).select("n_bins", F.lit("OPTIMAL").alias("status"), "name", "iv"), path)
     back = io.read_iv_csv(spark, path)
     return binning.features_below_cap(back, IV_CAP).select("name", F.round("iv", 9).alias("iv"))
 
@@ -416,8 +437,8 @@ def metrics_table(spark, sf_dir):
     cells = metrics.confusion(s, "cat_target", "prediction", ["split"])
     per_month = metrics.ks_by_date_ref(s, "dt_month", "cat_target", "prob", ["split"])
     lines = io.metric_rows(
-        cells, "demo", {"n00": "cm_00", "n01": "cm_01", "n10": "cm_10", "n11": "cm_11"}, "split"
-    ).unionByName(io.metric_rows(per_month, "demo", ["ks"], "split", "period_ref"))
+        cells, "001", {"n00": "cm_00", "n01": "cm_01", "n10": "cm_10", "n11": "cm_11"}, "split"
+    ).unionByName(io.metric_rows(per_month, "001", ["ks"], "split", "period_ref"))
     io.write_metrics(lines, path)
     return io.read_metrics(spark, path)
 
@@ -513,6 +534,105 @@ def model_roundtrip(spark, sf_dir):
     return out.groupBy("split", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_weights(spark, sf_dir):
+    """Balanced weights of rows whose target is sometimes missing."""
+    s = fixtures.scored(spark, sf_dir)
+    known = s.withColumn("y", F.when(F.col("dt_month") != 2, F.col("cat_target")))
+    out = modeling.with_balanced_weight(known, "y", "weight")
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 9).alias("weight"))
+
+
+def scored_contract(spark, sf_dir):
+    """Scores of both families: rows per split, probabilities out of range, and labels that disagree."""
+    panel = io.materialize(training_panel(spark, sf_dir))
+    fit_rows = panel.filter(F.col("split") == "train")
+    settings = {"boosted": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 10, "maxDepth": 4}}
+    parts = []
+    for family, params in settings.items():
+        model = modeling.train(fit_rows, MODEL_FEATURES, "cat_target", family, **params)
+        s = modeling.score(model, panel)
+        parts.append(
+            s.groupBy(F.lit(family).alias("family"), "split").agg(
+                F.count(F.lit(1)).alias("n"),
+                F.count_if(~F.col("prob").between(0, 1)).alias("n_outside"),
+                F.count_if((F.col("prob") > 0.5) != (F.col("prediction") == 1)).alias("n_disagree"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def reload_contract(spark, sf_dir):
+    """Scores of a model before and after it was stored: rows per split and how many differ."""
+    panel = io.materialize(training_panel(spark, sf_dir))
+    fit_rows = panel.filter(F.col("split") == "train")
+    model = modeling.train(fit_rows, MODEL_FEATURES, "cat_target", "forest", numTrees=5)
+    path = io.scratch_path(spark, "model")
+    io.save_model(model, path)
+    before = modeling.score(model, panel).withColumnRenamed("prob", "before").drop("prediction")
+    both = modeling.score(io.load_model(path), before)
+    return both.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob") != F.col("before")).alias("n_changed")
+    )
+
+
+def importance_contract(spark, sf_dir):
+    panel = io.materialize(training_panel(spark, sf_dir).filter(F.col("split") == "train"))
+    model = modeling.train(panel, MODEL_FEATURES, "cat_target", "forest", numTrees=10, maxDepth=4)
+    return modeling.importances(model, MODEL_FEATURES, digits=None).agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.count_if(F.col("importance") < 0).alias("n_negative"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
+
+
+def shadow_contract(spark, sf_dir):
+    """One round's shadows: a permutation of the rows that leaves none in its place."""
+    s = fixtures.prices(spark, sf_dir).select("date", *SERIES, "adj_close")
+    keys = ["date", *SERIES]
+    positioned = io.materialize(hash_position(s, keys, 7).select("_pos", *keys, "adj_close"))
+    n = positioned.count()
+    pairs = shadow_frame(positioned.select("_pos", F.xxhash64(*keys).alias("id"), "adj_close"), ["id", "adj_close"], n, 11)
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("_pos").alias("n_positions"),
+        F.count_distinct("_shadow_0").alias("n_donors"),
+        F.count_if(F.col("id") == F.col("_shadow_0")).alias("n_in_place"),
+        F.sum("_shadow_1").alias("total"),
+    )
+
+
+def selection_refit(spark, sf_dir):
+    """Selection on a panel with a planted feature, then the fit on what it keeps."""
+    noise = F.pmod(F.xxhash64("date", *SERIES), F.lit(1000)) / 1000.0
+    panel = training_panel(spark, sf_dir).withColumn("planted", F.col("cat_target") + noise)
+    report, model, _, _ = scoring.select_and_refit(
+        io.materialize(panel), [*MODEL_FEATURES[:3], "planted"], "001", rounds=8, family="forest", numTrees=5
+    )
+    fitted = model.stages[0].getInputCols()
+    kept = F.col("features").isin(*fitted)
+    return report.agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.count_if(kept != F.col("support")).alias("n_mismatch"),
+        F.count_if((F.col("features") == "planted") & F.col("support")).alias("n_planted"),
+    )
+
+
+def capped_training(spark, sf_dir):
+    """Ranking written as CSV, read back, capped, and a model fitted on the features below the cap."""
+    lines = _lines_with_leak(spark, sf_dir).select(
+        "l_orderkey", *IV_FEATURES, F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("cat_target"),
+        F.year("l_shipdate").alias("dt_year"), F.month("l_shipdate").alias("dt_month"),
+    )
+    unfilled = scoring.training_table(lines, 1990, ["l_orderkey", "l_linenumber"], fill=False)
+    path = io.scratch_path(spark, "iv-table")
+    io.write_csv(scoring.rank_features(unfilled, IV_FEATURES), path)
+    features = binning.feature_names(io.read_iv_csv(spark, path), IV_CAP)
+    table = io.materialize(rows.fill_numeric(unfilled))
+    model = modeling.train(table.filter(F.col("split") == "train"), features, "cat_target", "forest", numTrees=5)
+    used = F.lit(", ".join(sorted(features)))
+    return modeling.score(model, table).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max(used).alias("features"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asof_target": asof_target,
     "asof_drop_unmatched": asof_drop_unmatched,
@@ -577,4 +697,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boruta_report": boruta_report,
     "evaluated_run": evaluated_run,
     "model_roundtrip": model_roundtrip,
+    "price_features_full": price_features_full,
+    "model_table_full": model_table_full,
+    "class_weights": class_weights,
+    "scored_contract": scored_contract,
+    "reload_contract": reload_contract,
+    "importance_contract": importance_contract,
+    "shadow_contract": shadow_contract,
+    "selection_refit": selection_refit,
+    "capped_training": capped_training,
 }

@@ -39,6 +39,10 @@ def iv_term(n1: Column, n0: Column, t1: Column, t0: Column) -> Column:
     return F.coalesce(gap * woe(n1, n0, t1, t0), F.lit(0.0))
 
 
+#: 2 ** (prebins - 1) merges are tried per variable.
+MOST_PREBINS = 12
+
+
 def prebins(
     counts: DataFrame,
     groups: Sequence[str] = (),
@@ -50,6 +54,8 @@ def prebins(
     run = running_counts(counts, groups, ranges, keep_missing)
     n_below = F.col("c1") + F.col("c0") - F.col("n1") - F.col("n0")
     n_all = F.col("t1") + F.col("t0")
+    if max_prebins > MOST_PREBINS:
+        raise ValueError(f"at most {MOST_PREBINS} prebins: each one more doubles the merges tried")
     slot = F.floor(F.try_divide(n_below * max_prebins, n_all))
     slots = (
         run.withColumn("_slot", slot)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
+import threading
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitscore.operators.metrics import average_precision, roc_auc
+
 SEED = 7
 FEATURES = "_features"
 WEIGHT = "_weight"
@@ -52,13 +54,13 @@ SEARCH_SPACES = {
 
 
 def with_balanced_weight(df: DataFrame, target: str, name: str = WEIGHT) -> DataFrame:
-    """Row weight ``n / (2 * n_class)``, so both classes weigh the same (two counts reach the driver)."""
-    counts = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for value, n in counts.items():
-        weight = F.when(F.col(target) == value, total / (len(counts) * n)).otherwise(weight)
-    return df.withColumn(name, weight)
+    """Row weight ``n / (classes * n_class)``, so classes weigh the same. Targets other than 0 and 1, NULL
+    too, are no class and get no weight. Two counts reach the driver."""
+    y = F.col(target)
+    n1, n0 = df.agg(F.count_if(y == 1), F.count_if(y == 0)).first()
+    classes = (n1 > 0) + (n0 > 0)
+    weight = F.when(y == 1, (n1 + n0) / max(1, classes * n1)).when(y == 0, (n1 + n0) / max(1, classes * n0))
+    return df.withColumn(name, weight.cast("double"))
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -80,7 +82,7 @@ def train(
 ) -> PipelineModel:
     """Fit a tree classifier with balanced class weights. The fit reads ``df`` several times: pass a
     materialized table."""
-    weighted = with_balanced_weight(df, target)
+    weighted = with_balanced_weight(df.filter(F.col(target).isin(0, 1)), target)
     return Pipeline(stages=[assembler(features), classifier(family, target, **params)]).fit(weighted)
 
 
@@ -102,8 +104,9 @@ def importances(model: PipelineModel, features: Sequence[str], digits: int | Non
     return out.orderBy(F.col("importance").desc(), "name")
 
 
-def draw_params(space: dict, trials: int, seed: int = SEED, n_rows: int | None = None) -> list[dict]:
-    """``trials`` random settings. Leaf sizes are held below a twentieth of the rows."""
+def draw_params(space: dict, trials: int, seed: int = SEED) -> list[dict]:
+    """``trials`` random settings from a space. The same space and seed give the same settings for any
+    table; pass a space whose leaf sizes suit the data."""
     rng = random.Random(seed)
     out = []
     for _ in range(trials):
@@ -111,15 +114,15 @@ def draw_params(space: dict, trials: int, seed: int = SEED, n_rows: int | None =
         for name, (low, high, *step) in sorted(space.items()):
             if step:
                 params[name] = round(low + step[0] * rng.randint(0, round((high - low) / step[0])), 10)
-                continue
-            if name == "minInstancesPerNode" and n_rows:
-                limit = max(1, n_rows // 20)
-                low, high = min(low, limit), min(high, limit)
-            params[name] = rng.randint(low, high)
+            else:
+                params[name] = rng.randint(low, high)
         out.append(params)
     return out
 
 
+OBJECTIVES = {"auc": roc_auc, "average_precision": average_precision}
+
+
 def search(
     train_rows: DataFrame,
     held_out: DataFrame,
@@ -128,33 +131,41 @@ def search(
     space: str | dict = "all_variables",
     families: Sequence[str] = ("boosted",),
     trials: int = 10,
-    metric: str = "areaUnderROC",
+    metric: str = "auc",
     parallelism: int = 4,
     seed: int = SEED,
 ) -> tuple[PipelineModel, str, dict, list[tuple]]:
     """Random search: fit every drawn setting on ``train_rows``, keep the best on ``held_out``.
 
-    Both frames are read once per fit, so pass materialized tables. Fits run side by side as Spark jobs.
-    Returns model, family, parameters and ``(trial, family, params, metric)`` records.
+    ``metric`` is ``auc`` or ``average_precision``, computed from exact running counts as everywhere else
+    in this library. Both frames are read once per fit, so pass materialized tables. Fits run side by side
+    as Spark jobs; besides those under way only the best model so far is kept. Of equally good trials the
+    first wins. Returns model, family, parameters and ``(trial, family, params, metric)`` records.
     """
     spaces = SEARCH_SPACES[space] if isinstance(space, str) else space
+    judge = OBJECTIVES[metric]
     to_vector = assembler(features)
-    weighted = with_balanced_weight(train_rows, target)
-    n_rows = weighted.count()
+    weighted = with_balanced_weight(train_rows.filter(F.col(target).isin(0, 1)), target)
     fit_rows, check_rows = to_vector.transform(weighted), to_vector.transform(held_out)
-    judge = BinaryClassificationEvaluator(labelCol=target, metricName=metric)
     jobs = []
     for k, family in enumerate(families):
         share = trials // len(families) + (1 if k < trials % len(families) else 0)
-        jobs += [(family, p) for p in draw_params(spaces[family], share, seed + k, n_rows)]
+        jobs += [(family, p) for p in draw_params(spaces[family], share, seed + k)]
+    best, lock = [], threading.Lock()
 
-    def run(job):
-        family, params = job
+    def run(trial):
+        family, params = jobs[trial]
         fitted = classifier(family, target, **params).fit(fit_rows)
-        return fitted, judge.evaluate(fitted.transform(check_rows))
+        scored = fitted.transform(check_rows).select(target, vector_to_array("probability")[1].alias("prob"))
+        found = judge(scored, target, "prob").first()
+        value = float("-inf") if found is None or found[metric] is None else found[metric]
+        with lock:
+            if not best or (value, -trial) > best[0][:2]:
+                best[:] = [(value, -trial, fitted)]
+        return value
 
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        results = pool.map(run, jobs)
-    log = [(i, f, p, r[1]) for i, ((f, p), r) in enumerate(zip(jobs, results, strict=True))]
-    best = max(range(len(jobs)), key=lambda i: (results[i][1], -i))
-    return PipelineModel([to_vector, results[best][0]]), *jobs[best], log
+        values = pool.map(run, range(len(jobs)))
+    log = [(i, f, p, v) for i, ((f, p), v) in enumerate(zip(jobs, values, strict=True))]
+    _, trial, model = best[0]
+    return PipelineModel([to_vector, model]), *jobs[-trial], log

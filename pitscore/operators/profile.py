@@ -99,3 +99,23 @@ def _sketch_description(df: DataFrame, types: dict[str, str]) -> DataFrame:
         ]
     )
     return df.agg(*aggs).select(F.inline(lines))
+
+
+ROUNDING_SHIFT = 0.0123456789
+
+
+def feature_totals(df: DataFrame, features: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """``groups, feature, n, total``: how many values each feature has, and their sum, in one pass.
+
+    Sums are shifted by a fixed odd fraction before rounding, so that a sum that ends in an exact half is
+    not rounded by its last bit.
+    """
+    sums = []
+    for f in features:
+        digits = 3 if f.startswith("pct_") else 1
+        sums += [F.count(f).alias(f"n_{f}"), F.round(F.sum(F.col(f).cast("double")) + ROUNDING_SHIFT, digits).alias(f"t_{f}")]
+    lines = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"t_{f}").alias("total"))
+        for f in features
+    ])
+    return df.groupBy(*groups).agg(*sums).select(*groups, F.inline(lines))

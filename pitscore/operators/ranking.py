@@ -4,7 +4,7 @@ A window over all scores of a group would run in one task. The frame is built in
 
 1. ``score_counts``: rows collapse to one row per distinct (group, score), combined map-side, so a score
    shared by a third of the rows costs nothing.
-2. Distinct scores are cut into ranges at values drawn from the data. Each range's running count starts
+2. Distinct scores are cut into ranges at values drawn from each group's own scores. Each range's running count starts
    from the total of the ranges below it (a table of at most groups x ranges rows).
 
 The cut points are the scores with the smallest hashes: an even sample of the distinct scores that is a
@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _DRAWS_PER_RANGE = 4
-_MAX_RANGES = 1024
 
 
 def default_ranges(spark: SparkSession) -> int:
-    """A power of two, at least four ranges per shuffle partition, from 16 to 1024."""
+    """A power of two, at least four ranges per shuffle partition, sixteen at least."""
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(_MAX_RANGES, max(16, 1 << (wanted - 1).bit_length()))
+    return max(16, 1 << (wanted - 1).bit_length())
 
 
 def class_counts(df: DataFrame, score: str, target: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -41,15 +40,19 @@ def score_counts(df: DataFrame, score: str, target: str, groups: Sequence[str] =
     return class_counts(df.filter(F.col(target).isin(0, 1)), score, target, groups)
 
 
-def _cut_points(counts: DataFrame, groups: Sequence[str], ranges: int) -> DataFrame:
+def _cut_points(counts: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """The cuts of each group: every fourth of its drawn scores, in order. Scores are drawn over all groups
+    by hash, so a group has as many cuts as its share of the distinct scores; a group without any is small.
+    All groups together have at most ``ranges * 4`` draws, which bounds what is broadcast."""
     drawn = (
         counts.filter(F.col("n1") + F.col("n0") > 0)
-        .select("score", F.xxhash64(*groups, "score").alias("h"))
+        .select(*keys, "score", F.xxhash64(*keys, "score").alias("h"))
         .orderBy("h", "score")
         .limit(ranges * _DRAWS_PER_RANGE)
     )
     values = F.array_sort(F.collect_set("score"))
-    return drawn.agg(F.filter(values, lambda x, i: i % _DRAWS_PER_RANGE == 0).alias("cuts"))
+    cuts = F.filter(values, lambda x, i: i % _DRAWS_PER_RANGE == 0)
+    return drawn.groupBy(*keys).agg(cuts.alias("_cuts")) if keys else drawn.agg(cuts.alias("_cuts"))
 
 
 def _with_range(df: DataFrame, ranges: int) -> DataFrame:
@@ -57,6 +60,7 @@ def _with_range(df: DataFrame, ranges: int) -> DataFrame:
     df = df.withColumn("_range", F.lit(0))
     step = ranges // 2
     while step:
+        # past the end of the cuts the comparison is NULL, which counts as not beyond
         beyond = F.col("score") > F.get("_cuts", F.col("_range") + (step - 1))
         df = df.withColumn("_range", F.col("_range") + F.when(beyond, step).otherwise(0))
         step //= 2
@@ -77,14 +81,17 @@ def running_counts(
     ranges = ranges or default_ranges(counts.sparkSession)
     if not keep_missing:
         counts = counts.filter(F.col("score").isNotNull())
-    cuts = _cut_points(counts, groups, ranges).scalar()
     # text keys without NULLs, so that a NULL group joins like any other
     keys = [f"_k{i}" for i in range(2 * len(groups))]
     named = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups]
     named += [F.col(g).isNull() for g in groups]
-    ranged = _with_range(counts.withColumn("_cuts", cuts), ranges).select(
-        *counts.columns, "_range", *[k.alias(n) for k, n in zip(named, keys, strict=True)]
-    )
+    keyed = counts.select("*", *[k.alias(n) for k, n in zip(named, keys, strict=True)])
+    cuts = _cut_points(keyed, keys, ranges)
+    if groups:
+        keyed = keyed.join(F.broadcast(cuts), keys, "left")
+    else:
+        keyed = keyed.withColumn("_cuts", cuts.scalar())
+    ranged = _with_range(keyed, ranges * _DRAWS_PER_RANGE).select(*counts.columns, "_range", *keys)
     # one row per group and range: bounded, so these windows stay small
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -26,11 +26,6 @@ def select_features(df: DataFrame, excluded: Iterable[str], keep: Sequence[str]
     return df.select(*keep, *features_except(df, [*excluded, *keep]))
 
 
-def rename_all(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename before a join so that no column has to be dropped by its parent afterwards."""
-    return df.withColumnsRenamed(dict(names))
-
-
 def fill_numeric(df: DataFrame, value: float = 0) -> DataFrame:
     """Replace NULL and NaN in numeric columns; strings and dates stay as they are."""
     return df.na.fill(value)

@@ -154,6 +154,7 @@ long AS (
             ("l_tax", "l_tax"),
             ("l_linenumber", "l_linenumber"),
             ("discount_gap", "nullif(l_discount, 0)"),
+            ("status_leak", "l_linenumber + CASE WHEN l_linestatus = 'F' THEN 2 ELSE 0 END"),
         ]
     )
     + """),
@@ -352,10 +353,113 @@ LEFT JOIN statements l1y ON c.id_cnpj = l1y.id_cnpj AND {m.format("c")} - 12 = {
 
 _CHANGES = ",\n  ".join(
     f"({c} - lag({c}, {n}) OVER w) / nullif(abs(lag({c}, {n}) OVER w), 0) AS pct_tx_{c}_{n}d"
-    for c in ("adj_close", "high_price", "low_price", "amplitude_close_high_price")
-    for n in (5, 30, 360)
+    for c in V.CHANGE_COLUMNS
+    for n in V.ROLLING_WINDOWS
 )
 
+def _plain_stats(value: str, label: str, windows, name: str = "f") -> str:
+    return _frames(
+        f"avg({value}) OVER ({name} ROWS BETWEEN {{b}} PRECEDING AND CURRENT ROW) AS amt_avg_{label}_{{n}},\n"
+        f"  stddev_samp({value}) OVER ({name} ROWS BETWEEN {{b}} PRECEDING AND CURRENT ROW) AS amt_std_{label}_{{n}}",
+        windows,
+    )
+
+
+def price_features(source: str) -> str:
+    """Every price feature over the rows of ``source``, as ``pf``."""
+    return f"""
+pa AS (SELECT *, high_price - close AS amplitude_close_high_price FROM {source}),
+pm AS (SELECT *, CAST(row_number() OVER ({BY_SERIES}) AS DOUBLE) AS t,
+       adj_close - lag(adj_close) OVER ({BY_SERIES}) AS d FROM pa),
+pf AS (SELECT *, {_plain_stats("adj_close", "adj_close", V.ROLLING_WINDOWS)},
+  {
+        _frames(
+            "min(adj_close) OVER (f ROWS BETWEEN {b} PRECEDING AND CURRENT ROW) AS amt_min_adj_close_{n},"
+            "max(adj_close) OVER (f ROWS BETWEEN {b} PRECEDING AND CURRENT ROW) AS amt_max_adj_close_{n}",
+            V.ROLLING_WINDOWS,
+        )
+    },
+  {_CHANGES}, {_slope("adj_close", "adj_close", V.SLOPE_WINDOWS)}, {BREAKS},
+  {", ".join(_strength(n) for n in V.STRENGTH_WINDOWS)}
+  FROM pm WINDOW f AS ({BY_SERIES}), w AS ({BY_SERIES}))"""
+
+
+def _messy() -> str:
+    """The panel as it arrives, deduplicated and filtered: ``mp`` and, with all features, ``sf``."""
+    amounts = ", ".join(V.STATEMENT_AMOUNTS)
+    month = "year({0}.dt_refer) * 12 + month({0}.dt_refer)"
+    lags = [
+        f"l{lag}.{a} AS amt_tot_{a}_{lag}_lag, (c.{a} - l{lag}.{a}) / nullif(abs(l{lag}.{a}), 0) AS pct_tx_{a}_{lag}"
+        for a in V.TRACKED_AMOUNTS
+        for lag in V.STATEMENT_LAGS
+    ]
+    joins = " ".join(
+        f"LEFT JOIN st l{lag} ON c.id_cnpj = l{lag}.id_cnpj AND {month.format('c')} - {n} = {month.format(f'l{lag}')}"
+        for lag, n in V.STATEMENT_LAGS.items()
+    )
+    return f"""{RAW_PRICES},
+mr AS (SELECT * REPLACE (CASE WHEN substr(id_cnpj, 13, 2) = '50' THEN '00000000000000' ELSE id_cnpj END AS id_cnpj)
+       FROM raw_prices),
+mp AS (SELECT *, CAST(year(date) AS INTEGER) AS dt_year, CAST(month(date) AS INTEGER) AS dt_month,
+         CAST(year(date - 90) * 100 + month(date - 90) AS INTEGER) AS dt_safra_dre
+  FROM mr WHERE id_cnpj <> '00000000000000' AND date > DATE '{SINCE}'
+  QUALIFY row_number() OVER (PARTITION BY date, id_cnpj, ticker
+    ORDER BY adj_close, close, high_price, low_price, volume) = 1),
+ms AS (
+  SELECT lpad(CAST(l_suppkey AS VARCHAR), 14, '0') AS id_cnpj, 'CVM' || l_suppkey AS id_cvm,
+         'Company ' || l_suppkey AS txt_company_name,
+         CASE WHEN NOT (l_suppkey % 7 = 0 AND month(m) = 3) THEN last_day(m) END AS dt_refer,
+         CAST(max(l_shipdate) AS DATE) AS processed_at,
+         CAST(floor(max(l_extendedprice * l_discount)) AS DOUBLE) AS amt_cost_goods_and_services,
+         CAST(floor(max(l_extendedprice * (1 - l_tax))) AS DOUBLE)
+           AS amt_earnings_before_income_tax_and_social_contribution,
+         CAST(floor(max(l_extendedprice * (1 - l_discount))) AS DOUBLE) AS amt_earnings_before_interest_and_taxes,
+         CAST(floor(min(l_extendedprice * l_tax)) - 50 AS DOUBLE) AS amt_financial_results,
+         CAST(floor(max(l_extendedprice * (1 + l_tax))) AS DOUBLE) AS amt_groos_revenue,
+         CAST(floor(min(l_extendedprice)) - 2000 AS DOUBLE) AS amt_net_profit,
+         CAST(floor(max(l_quantity)) AS DOUBLE) AS amt_operating_revenues_and_expenses,
+         CAST(floor(max(l_extendedprice)) AS DOUBLE) AS amt_sales_revenue
+  FROM (SELECT *, CAST(date_trunc('month', l_shipdate) AS DATE) AS m FROM lineitem)
+  GROUP BY l_suppkey, m, l_linenumber % 2),
+st AS (
+  SELECT * FROM ms WHERE dt_refer IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id_cnpj, dt_refer ORDER BY processed_at DESC, {amounts}) = 1),
+sl AS (SELECT c.*, {", ".join(lags)} FROM st c {joins}),
+sn AS (SELECT *, CAST(row_number() OVER (PARTITION BY id_cnpj ORDER BY dt_refer) AS DOUBLE) AS t FROM sl),
+sf AS (SELECT *, CAST(year(dt_refer) * 100 + month(dt_refer) AS INTEGER) AS safra,
+  {", ".join(_plain_stats(a, a, V.STATEMENT_WINDOWS) for a in V.TRACKED_AMOUNTS)},
+  {", ".join(_slope(a, a, V.STATEMENT_SLOPE_WINDOWS) for a in V.TRACKED_AMOUNTS)}
+  FROM sn WINDOW f AS (PARTITION BY id_cnpj ORDER BY dt_refer))"""
+
+
+def _totals(source: str, features) -> str:
+    return " UNION ALL ".join(
+        f"SELECT ticker, dt_year, '{f}' AS feature, count({f}) AS n, "
+        f"round(sum(CAST({f} AS DOUBLE)) + 0.0123456789, {3 if f.startswith('pct_') else 1}) AS total FROM {source} GROUP BY ALL"
+        for f in features
+    )
+
+
+def _model_table_full() -> str:
+    ours = ", ".join(f"sf.{c}" for c in V.statement_feature_columns())
+    features = [*V.price_feature_columns(), *V.statement_feature_columns(), "cat_target", "var_target"]
+    return f"""WITH {_messy()}, {price_features("mp")},
+j AS (SELECT pf.*, sf.txt_company_name, {ours}
+      FROM pf ASOF LEFT JOIN sf ON pf.id_cnpj = sf.id_cnpj AND pf.dt_safra_dre >= sf.safra),
+l AS (SELECT *, lag(adj_close, 1) OVER w AS p1, lag(adj_close, 2) OVER w AS p2 FROM j WINDOW w AS ({BY_SERIES})),
+v AS (SELECT *, (p1 - p2) / nullif(abs(p2), 0) AS var_target FROM l),
+full_table AS MATERIALIZED (SELECT *, CASE WHEN var_target >= 0 THEN 1 ELSE 0 END AS cat_target FROM v
+  WHERE var_target IS NOT NULL AND txt_company_name IS NOT NULL)
+{_totals("full_table", features)}"""
+
+
+PANEL_HASH = """CASE WHEN CAST('0x' || substr(md5(concat_ws('|', CAST(date AS VARCHAR), id_cnpj, ticker, '7')), 1, 8)
+  AS BIGINT) % 1000 < 700 THEN 'train' ELSE 'test' END"""
+PANEL = f"""WITH {clean(SINCE)}, {TARGET_FROM},
+panel AS (SELECT CASE WHEN dt_month IN (2,4,6,8,12) THEN {PANEL_HASH}
+                 WHEN dt_month IN (1,3,5,7,9,11) THEN 'out' ELSE 'unused' END AS split
+          FROM t WHERE var_target IS NOT NULL AND txt_company_name IS NOT NULL)"""
+
 ORACLES: dict[str, str] = {
     "asof_target": f"WITH {clean(SINCE)}, {TARGET_FROM} {TARGET_SELECT}",
     "asof_drop_unmatched": f"WITH {clean(SINCE)}, {TARGET_FROM} {TARGET_SELECT} AND txt_company_name IS NOT NULL",
@@ -423,7 +527,7 @@ SELECT bin, lo, hi, n1 + n0 AS count, (n1 + n0) / (t1 + t0) AS count_share, n0 A
        n1 / (n1 + n0) AS event_rate, round(ln((n0 / t0) / (n1 / t1)), 9) AS woe,
        round((n0 / t0 - n1 / t1) * ln((n0 / t0) / (n1 / t1)), 9) AS iv FROM bins""",
     "iv_ranking": IV_TABLE + "SELECT name, round(iv, 9) AS iv, n_bins FROM iv_table",
-    "iv_cap": IV_TABLE + "SELECT name FROM iv_table WHERE iv < 0.0004",
+    "iv_cap": IV_TABLE + "SELECT name FROM iv_table WHERE iv < 0.1",
     "iv_top": IV_TABLE + "SELECT name, round(iv, 9) AS iv FROM iv_table ORDER BY round(iv, 9) DESC, name LIMIT 3",
     "confusion": f"WITH {split_scores()}, {_cells('split_scores')} SELECT * FROM cells",
     "recall_precision": f"""WITH {split_scores()}, {_cells("split_scores")}
@@ -490,11 +594,33 @@ FROM n WINDOW f AS (PARTITION BY id_cnpj ORDER BY dt_refer)""",
     "parquet_roundtrip": f"""WITH {scored()}
 SELECT dt_year, count(*) AS n, CAST(sum(cat_target) AS BIGINT) AS events FROM scored WHERE dt_year >= 2000
 GROUP BY dt_year""",
-    "csv_roundtrip": IV_TABLE + "SELECT name, round(iv, 9) AS iv FROM iv_table WHERE iv < 0.0004",
+    "csv_roundtrip": IV_TABLE + "SELECT name, round(iv, 9) AS iv FROM iv_table WHERE iv < 0.1",
     "metrics_table": f"""WITH {split_scores()}, {_cells("split_scores")},
 {running("split_scores", "split, dt_month")}
-SELECT 'demo' AS run, split, 'cm_' || m AS metric, NULL AS period, CAST(v AS DOUBLE) AS value
+SELECT '001' AS run, split, 'cm_' || m AS metric, NULL AS period, CAST(v AS DOUBLE) AS value
 FROM (SELECT split, unnest(['00','01','10','11']) AS m, unnest([n00, n01, n10, n11]) AS v FROM cells)
 UNION ALL
-SELECT 'demo', split, 'ks', 'period_ref_' || dt_month, {KS} FROM run GROUP BY split, dt_month""",
+SELECT '001', split, 'ks', 'period_ref_' || dt_month, {KS} FROM run GROUP BY split, dt_month""",
+    "price_features_full": f"""WITH {PRICES}, {price_features("prices")},
+full_table AS MATERIALIZED (SELECT *, CAST(year(date) AS INTEGER) AS dt_year FROM pf)
+{_totals("full_table", V.price_feature_columns())}""",
+    "model_table_full": _model_table_full(),
+    "class_weights": f"""WITH {scored()},
+y AS (SELECT CASE WHEN dt_month <> 2 THEN cat_target END AS y FROM scored),
+c AS (SELECT y, count(*) AS n FROM y GROUP BY y)
+SELECT y, n, round(CASE WHEN y IS NOT NULL THEN sum(n) FILTER (y IS NOT NULL) OVER () / (2.0 * n) END, 9) AS weight
+FROM c""",
+    "scored_contract": PANEL + """
+SELECT family, split, count(*) AS n, 0 AS n_outside, 0 AS n_disagree
+FROM panel CROSS JOIN (VALUES ('boosted'), ('forest')) f(family) GROUP BY family, split""",
+    "reload_contract": PANEL + " SELECT split, count(*) AS n, 0 AS n_changed FROM panel GROUP BY split",
+    "importance_contract": "SELECT 8 AS n_features, 0 AS n_negative, 1.0 AS total",
+    "shadow_contract": f"""WITH {PRICES}
+SELECT count(*) AS n, count(*) AS n_positions, count(*) AS n_donors, 0 AS n_in_place, sum(adj_close) AS total
+FROM prices""",
+    "selection_refit": "SELECT 4 AS n_features, 0 AS n_mismatch, 1 AS n_planted",
+    "capped_training": f"""WITH {split_scores()}
+SELECT split, count(*) AS n,
+       'discount_gap, l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax' AS features
+FROM split_scores GROUP BY split""",
 }

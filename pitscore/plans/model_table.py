@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitscore.functions import vocabulary as V
 from pitscore.functions.columns import period_key, period_of
 from pitscore.operators.asof import asof_join, asof_join_by_period, component_theta_join, shifted_period_join
+from pitscore.operators.rolling import price_features
 from pitscore.operators.rows import keep_one, project
 from pitscore.operators.series import add_target
+from pitscore.operators.statements import statement_features
 
 # The unknown company, the first day kept, and the days a statement takes to be published.
 UNKNOWN_COMPANY = "00000000000000"
@@ -91,6 +94,24 @@ def build_model_table(
     return out.filter(F.col("txt_company_name").isNotNull()) if drop_unmatched else out
 
 
+def build_full_model_table(
+    prices: DataFrame,
+    statements: DataFrame,
+    since: str = HISTORY_START,
+    shift: int = 1,
+    drop_unmatched: bool = True,
+) -> DataFrame:
+    """The whole model table, 250 columns in their order, from raw prices and statements.
+
+    Both inputs are deduplicated before any feature is computed, so no window sees a row twice.
+    """
+    rows = price_features(prepare_prices(prices, since), SERIES, ["date"])
+    records = statement_features(prepare_statements(statements), ["id_cnpj"], "dt_refer")
+    joined = join_statements(rows, records, keys_from=known_prices(prices, since))
+    out = project(add_target(joined, SERIES, "date", "adj_close", shift), V.model_columns())
+    return out.filter(F.col("txt_company_name").isNotNull()) if drop_unmatched else out
+
+
 def build_shifted_model_table(
     prices: DataFrame, statements: DataFrame, since: str = HISTORY_START, shift: int = 1
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pitscore.operators.profile import event_rate
 from pitscore.operators.rows import features_except, fill_numeric
 from pitscore.operators.selection import shadow_selection, supported
 from pitscore.operators.splits import assign_splits
-from pitscore.sources.io import materialize, metric_rows
+from pitscore.sources.io import materialize, metric_rows, param_rows, trial_rows
 
 KEYS = ["date", "id_cnpj", "ticker"]
 TARGET = "cat_target"
@@ -103,16 +103,17 @@ def fit_and_evaluate(
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Train on ``train``, score every split, evaluate. ``tune`` holds options of ``search``.
 
-    Returns the model, the scored table (materialized, ids and scores only) and the metric rows.
+    Returns the model, the scored table (materialized, ids and scores only) and the metric rows, among them
+    the family, the parameters and, after a search, every trial.
     """
     columns = list(dict.fromkeys([*keep, PERIOD, "dt_year", "split", target, *features]))
     ready = materialize(table.filter(F.col("split") != "unused").select(*columns))
     fit_rows = ready.filter(F.col("split") == "train")
     if tune is not None:
         held_out = ready.filter(F.col("split") == "test")
-        model, *_ = search(fit_rows, held_out, features, target, **tune)
+        model, family, params, log = search(fit_rows, held_out, features, target, **tune)
     else:
-        model = train(fit_rows, features, target, family, **params)
+        model, log = train(fit_rows, features, target, family, **params), []
     ids = [c for c in columns if c not in set(features)]
     scored = materialize(score(model, ready).select(*ids, "prediction", "prob"))
     rows = evaluate(scored, run, target)
@@ -122,6 +123,10 @@ def fit_and_evaluate(
             ranks.withColumn("split", F.lit("train")), run, {"importance": "importance"}, "split", "name"
         )
     )
+    settings = param_rows(table.sparkSession, run, {"family": family, **params})
+    rows = rows.unionByName(settings)
+    if log:
+        rows = rows.unionByName(trial_rows(table.sparkSession, run, log))
     return model, scored, rows
 
 

@@ -88,6 +88,54 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messy_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price panel as it arrives: several rows per key, and rows of an unknown company."""
+    raw = raw_prices(spark, sf_dir)
+    unknown = F.col("id_cnpj").substr(13, 2) == "50"
+    known = raw.withColumn("id_cnpj", F.when(unknown, F.lit("0" * 14)).otherwise(F.col("id_cnpj")))
+    return known.withColumn("id_isin", F.concat(F.lit("BR"), "id_cnpj", "ticker"))
+
+
+def messy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly statements as they arrive: up to two versions each, some without a reference date."""
+    price = F.col("l_extendedprice")
+    disc, tax = F.col("l_discount"), F.col("l_tax")
+
+    def whole(c):
+        return F.floor(F.max(c)).cast("double")
+
+    panel = (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("m", F.trunc(F.to_date("l_shipdate"), "month"))
+        .groupBy("l_suppkey", "m", (F.col("l_linenumber") % 2).alias("version"))
+        .agg(
+            F.to_date(F.max("l_shipdate")).alias("processed_at"),
+            whole(price * disc).alias("amt_cost_goods_and_services"),
+            whole(price * (1 - tax)).alias("amt_earnings_before_income_tax_and_social_contribution"),
+            whole(price * (1 - disc)).alias("amt_earnings_before_interest_and_taxes"),
+            (F.floor(F.min(price * tax)) - 50).cast("double").alias("amt_financial_results"),
+            whole(price * (1 + tax)).alias("amt_groos_revenue"),
+            (F.floor(F.min(price)) - 2000).cast("double").alias("amt_net_profit"),
+            whole("l_quantity").alias("amt_operating_revenues_and_expenses"),
+            whole(price).alias("amt_sales_revenue"),
+        )
+    )
+    last = F.last_day("m")
+    missing = (F.col("l_suppkey") % 7 == 0) & (F.month("m") == 3)
+    return panel.select(
+        _company("l_suppkey").alias("id_cnpj"),
+        F.concat(F.lit("CVM"), F.col("l_suppkey").cast("string")).alias("id_cvm"),
+        F.concat(F.lit("Company "), F.col("l_suppkey").cast("string")).alias("txt_company_name"),
+        F.when(~missing, last).alias("dt_refer"),
+        F.col("m").alias("dt_ini_exerc"),
+        "processed_at",
+        last.alias("dt_fim_exerc"),
+        F.year("m").alias("dt_year"),
+        F.quarter("m").alias("dt_quarter"),
+        *[c for c in panel.columns if c.startswith("amt_")],
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str, score: str = "l_extendedprice") -> DataFrame:
     """Labelled scores: nearly unique (price) or full of ties (discount), with month and split keys."""
     cut = {"l_extendedprice": 52500.0, "l_discount": 0.05}[score]

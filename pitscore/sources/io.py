@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 IV_SCHEMA = "name string, iv double, n_bins bigint"
 METRIC_COLUMNS = ["run", "split", "metric", "period", "value"]
+METRIC_SCHEMA = "split string, metric string, period string, value double, run string"
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +33,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_iv_csv(spark: SparkSession, path: str, schema: str = IV_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The columns of ``schema`` from a CSV file with a header, by name; other columns may stand anywhere.
+    A missing column is an error."""
+    raw = spark.read.option("header", True).csv(path)
+    wanted = [part.split() for part in schema.split(",")]
+    missing = [name for name, _ in wanted if name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    return raw.select(*[F.col(name).cast(kind).alias(name) for name, kind in wanted])
 
 
 def metric_rows(
@@ -55,9 +64,26 @@ def metric_rows(
     ).select(*METRIC_COLUMNS)
 
 
-def param_rows(spark: SparkSession, run: str, params: Mapping[str, float]) -> DataFrame:
-    """Parameters of a run as metric rows with split ``params``."""
-    rows = [(run, "params", k, None, float(v)) for k, v in sorted(params.items())]
+def param_rows(spark: SparkSession, run: str, params: Mapping[str, object], split: str = "params") -> DataFrame:
+    """Parameters of a run as metric rows: the value as text in ``period``, and as number where it is one."""
+    rows = [
+        (run, split, k, str(v), float(v) if isinstance(v, (int, float)) else None)
+        for k, v in sorted(params.items())
+    ]
+    return spark.createDataFrame(
+        rows, "run string, split string, metric string, period string, value double"
+    )
+
+
+def trial_rows(spark: SparkSession, run: str, log: Sequence[tuple]) -> DataFrame:
+    """The trials of a search as metric rows, one split ``trial_<number>`` each."""
+    rows = []
+    for trial, family, params, value in log:
+        found = {"family": family, "objective": value, **params}
+        rows += [
+            (run, f"trial_{trial}", k, str(v), float(v) if isinstance(v, (int, float)) else None)
+            for k, v in sorted(found.items())
+        ]
     return spark.createDataFrame(
         rows, "run string, split string, metric string, period string, value double"
     )
@@ -75,7 +101,8 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*METRIC_COLUMNS)
+    """The schema is given, so a run named ``001`` stays text."""
+    return spark.read.schema(METRIC_SCHEMA).parquet(path).select(*METRIC_COLUMNS)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -103,9 +130,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_kept: list[list[str]] = []
+
+
+@contextmanager
+def work_tables(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are deleted at its end; use what was read from
+    them before that."""
+    _kept.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _kept.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors and
     still allows column pruning and filter pushdown."""
     path = scratch_path(df.sparkSession, "table")
+    if _kept:
+        _kept[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -93,9 +93,9 @@ def test_search_keeps_the_best_trial(planted):
 def test_drawn_parameters_stay_in_range():
     for name, families in modeling.SEARCH_SPACES.items():
         for space in families.values():
-            for p in modeling.draw_params(space, 20, n_rows=4000):
+            for p in modeling.draw_params(space, 20):
                 for k, (low, high, *_) in space.items():
-                    assert min(low, 200) <= p[k] <= high, (name, k)
+                    assert low <= p[k] <= high, (name, k)
             assert modeling.draw_params(space, 5) == modeling.draw_params(space, 5)
 
 
