@@ -82,6 +82,27 @@ def classification_report(
     return confusion(df, target, prediction, groups).select(*groups, F.inline(lines))
 
 
+def _ks(digits: int | None) -> Column:
+    gap = F.abs(
+        F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c0"), F.col("t0"))
+    )
+    value = F.max(gap)
+    return (value if digits is None else F.round(value, digits)).alias("ks")
+
+
+def _auc() -> Column:
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    wins = F.sum(n1 * (F.col("c0") - n0 + n0 / 2))
+    return F.try_divide(wins, F.max("t1").cast("double") * F.max("t0")).alias("auc")
+
+
+def _precision() -> Column:
+    tp = F.col("t1") - F.col("c1") + F.col("n1")
+    fp = F.col("t0") - F.col("c0") + F.col("n0")
+    step = F.try_divide(F.col("n1"), F.col("t1")) * F.try_divide(tp, tp + fp)
+    return F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision")
+
+
 def ks(
     df: DataFrame,
     target: str,
@@ -91,12 +112,7 @@ def ks(
     ranges: int | None = None,
 ) -> DataFrame:
     """Largest distance between the two classes' cumulative shares; NULL when a class is empty."""
-    r = ranked(df, prob, target, groups, ranges)
-    gap = F.abs(
-        F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c0"), F.col("t0"))
-    )
-    value = F.max(gap)
-    return _aggregate(r, groups, (value if digits is None else F.round(value, digits)).alias("ks"))
+    return _aggregate(ranked(df, prob, target, groups, ranges), groups, _ks(digits))
 
 
 def ks_by_date_ref(
@@ -126,22 +142,22 @@ def roc_auc(
 
     On a 0/1 prediction this is the mean of the two classes' hit rates.
     """
-    r = ranked(df, score, target, groups, ranges)
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    wins = F.sum(n1 * (F.col("c0") - n0 + n0 / 2))
-    pairs = F.max("t1").cast("double") * F.max("t0")
-    return _aggregate(r, groups, F.try_divide(wins, pairs).alias("auc"))
+    return _aggregate(ranked(df, score, target, groups, ranges), groups, _auc())
 
 
 def average_precision(
     df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Sum over thresholds of recall gained times precision reached (steps, not trapezoids)."""
+    return _aggregate(ranked(df, score, target, groups, ranges), groups, _precision())
+
+
+def ranking_metrics(
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """``ks``, ``auc`` and ``average_precision`` from one reading of the running counts."""
     r = ranked(df, score, target, groups, ranges)
-    tp = F.col("t1") - F.col("c1") + F.col("n1")
-    fp = F.col("t0") - F.col("c0") + F.col("n0")
-    step = F.try_divide(F.col("n1"), F.col("t1")) * F.try_divide(tp, tp + fp)
-    return _aggregate(r, groups, F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
+    return _aggregate(r, groups, _ks(4), _auc(), _precision())
 
 
 def roc_points(

@@ -49,8 +49,8 @@ def dataset_description(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, missing count (NULL and NaN), missing percent, distinct non-missing values.
 
     Exact form: columns of one type are turned into (column, value) rows and counted. Equal values
-    combine map-side before the shuffle, the key is (column, value), and each input column is read
-    once. ``approximate=True`` keeps one sketch per column instead: a single pass without a shuffle of
+    combine map-side before the shuffle, and the key is (column, value). The table is scanned once per
+    type, for that type's columns. ``approximate=True`` keeps one sketch per column instead: a single pass without a shuffle of
     values, for tables whose columns are mostly unique.
     """
     types = dict(df.dtypes)

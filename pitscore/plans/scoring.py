@@ -64,7 +64,6 @@ def evaluate(scored: DataFrame, run: str, target: str = TARGET, period: str = PE
         metric_rows(
             M.confusion(scored, target, "prediction", s), run, {c: f"cm_{c[1:]}" for c in M.CELLS}, "split"
         ),
-        metric_rows(M.ks(scored, target, "prob", s), run, ["ks"], "split"),
         metric_rows(
             M.ks_by_date_ref(scored, period, target, "prob", s),
             run,
@@ -74,17 +73,9 @@ def evaluate(scored: DataFrame, run: str, target: str = TARGET, period: str = PE
         ),
     ]
     for column, suffix in (("prob", ""), ("prediction", "_label")):
-        parts.append(
-            metric_rows(M.roc_auc(scored, target, column, s), run, {"auc": f"roc{suffix}"}, "split")
-        )
-        parts.append(
-            metric_rows(
-                M.average_precision(scored, target, column, s),
-                run,
-                {"average_precision": f"average_precision{suffix}"},
-                "split",
-            )
-        )
+        ranks = M.ranking_metrics(scored, target, column, s)
+        names = {"auc": f"roc{suffix}", "average_precision": f"average_precision{suffix}"}
+        parts.append(metric_rows(ranks, run, names if suffix else names | {"ks": "ks"}, "split"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
