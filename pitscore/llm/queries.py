@@ -39,7 +39,7 @@ def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ngram.train(docs.where(F.coalesce(fold() != 1, F.lit(True))))
     return ngram.score(docs, model).select(
-        "doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known",
+        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
 
@@ -49,7 +49,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.document_statistics(_table(spark, sf_dir, "documents")))
     model = quality_model(stats, _table(spark, sf_dir, "labels"))
     scored = quality.score(stats, model)
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

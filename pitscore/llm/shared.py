@@ -57,12 +57,19 @@ def load(uri: str) -> np.ndarray:
     return _open[uri]
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark) -> None:
-    """Sends this package to the workers once per application, so that tasks can import it."""
+    """Sends this package to the workers once per application, so that tasks can import it.
+
+    Rows here are texts of many kilobytes. Where the session still has Spark's own default for the rows of
+    an Arrow batch, it is lowered, so that a batch takes some megabytes of a worker's memory.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from pitscore.llm.shared import ship
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
