@@ -125,7 +125,9 @@ def _fingerprint(pairs: DataFrame) -> tuple:
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` (the smallest id reachable) of every id on an edge, by alternating star steps.
 
-    Each step is two groupings by node; a node's partners are never gathered, so a hub is no burden.
+    Each step is two groupings by node; a node's partners are never gathered. The smallest partners are
+    written before they are joined: Spark splits a hub's rows in a join of two plain tables, but not in a
+    join with a grouping by the same key.
     """
     pairs = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -133,13 +135,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _fingerprint(pairs)
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large star: larger partners of u move to the smallest partner of u
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: smaller partners of u, and u, move to the smallest of them
         low = materialize(large)
-        small_least = low.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = materialize(low.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             low.join(small_least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -244,7 +246,7 @@ def _across(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         F.max("h").alias("h"),
     ).where("parts > 1")
     room = F.greatest(F.lit(16), F.least(F.lit(BLOCK_TEXTS), F.floor(F.lit(BLOCK_BITS) / (F.col("h") + 1))))
-    groups = groups.select("head", "mark", "main", F.ceil(F.col("texts") / room).cast("int").alias("blocks"))
+    groups = materialize(groups.select("head", "mark", "main", F.ceil(F.col("texts") / room).cast("int").alias("blocks")))
     active = rows.join(groups, ["head", "mark"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -339,7 +341,7 @@ def near_duplicates(
     sketched = known.join(first, ["words_key", "doc_id"], "left_semi")
     buckets = materialize(sketched.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("_last"))
-    heads = heads.where("head <> _last").drop("_last")
+    heads = materialize(heads.where("head <> _last").drop("_last"))  # so that a hot bucket is split, too
     stars = materialize(buckets.join(heads, "bucket").where("id <> head").select("head", "id").distinct())
     ids = stars.select("id").union(stars.select("head")).distinct()
     texts = source.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
