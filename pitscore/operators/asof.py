@@ -62,6 +62,15 @@ def _clean_records(records, keys, record_period):
     return records.filter(cond)
 
 
+def _without_key(rows, records, keys, payload):
+    """Rows whose key is whole, and those where a part of it is NULL, with NULL for the payload."""
+    gone = F.lit(False)
+    for k in keys:
+        gone = gone | F.col(k).isNull()
+    nothing = [F.lit(None).cast(records.schema[c].dataType).alias(c) for c in payload]
+    return rows.filter(~gone), rows.filter(gone).select(*rows.columns, *nothing)
+
+
 def asof_join(
     rows: DataFrame,
     records: DataFrame,
@@ -72,15 +81,25 @@ def asof_join(
     record_order: Sequence[str],
     payload: Sequence[str],
     series_from: DataFrame | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """Left as-of join: each row gets the latest record of its key with ``record_period <= period``.
 
     ``series`` contains ``by`` and is how the panel is partitioned for later lags, so the join and
     the lags share one shuffle of the rows; with the lags' date as ``period`` they share the sort too.
-    Each key's records are copied to its series; the copies number series times records per key, far
-    below the number of rows. The list of series is read from ``series_from``: any frame holding every
-    series of ``rows``, such as the raw scan, so that preparing the rows is not planned twice.
+    Each key's records are copied to its series; the copies number series times records per key. The list
+    of series is read from ``series_from``: any frame holding every series of ``rows``, such as the raw
+    scan, so that preparing the rows is not planned twice.
+
+    Rows without a key match nothing and are passed by the window, so that many of them do not land in one
+    task. ``keyed`` says that there are none: then the rows are read once, and later lags find them shuffled.
     """
+    if not keyed:
+        whole, lost = _without_key(rows, records, by, payload)
+        found = asof_join(
+            whole, records, by, series, period, record_period, record_order, payload, series_from, keyed=True
+        )
+        return found.unionByName(lost)
     extra = [c for c in series if c not in by]
     records = _clean_records(records, by, record_period)
     if extra:
@@ -99,12 +118,20 @@ def asof_join_by_period(
     record_order: Sequence[str],
     payload: Sequence[str],
     keys_from: DataFrame | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """Same result as ``asof_join`` for keys with any number of rows.
 
     The record is resolved once per distinct (key, period), then joined back on both. Keys and periods
-    are read from ``keys_from`` when given: a frame holding all of them, cheaper than ``rows``.
+    are read from ``keys_from`` when given: a frame holding all of them, cheaper than ``rows``. Rows without
+    a key, and ``keyed``, as there.
     """
+    if not keyed:
+        whole, lost = _without_key(rows, records, by, payload)
+        found = asof_join_by_period(
+            whole, records, by, period, record_period, record_order, payload, keys_from, keyed=True
+        )
+        return found.unionByName(lost)
     keys = (rows if keys_from is None else keys_from).select(*by, period).distinct()
     resolved = _carry_latest(
         keys,

@@ -66,10 +66,10 @@ def join_statements(
     payload = [c for c in statements.columns if c not in ("id_cnpj", "_safra", "_visible")]
     if by_period:
         return asof_join_by_period(
-            prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload, keys_from
+            prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload, keys_from, keyed=True
         )
     return asof_join(
-        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from
+        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from, keyed=True
     )
 
 

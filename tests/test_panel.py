@@ -112,6 +112,22 @@ def test_asof_equals_brute_force(spark, seed):
             )
 
 
+def test_asof_rows_without_key_stay_unmatched_and_unshuffled(spark):
+    rows = spark.createDataFrame(
+        [(None, "x", 5), (None, "x", 6), ("a", None, 5), ("a", "x", 1)], "id string, t string, p int"
+    )
+    records = spark.createDataFrame([("a", 3, 7), (None, 3, 8)], "id string, sp int, ref int")
+    a = asof.asof_join(rows, records, ["id"], ["id", "t"], "p", "sp", ["ref"], ["ref"])
+    b = asof.asof_join_by_period(rows, records, ["id"], "p", "sp", ["ref"], ["ref"])
+    assert {r["ref"] for r in b.filter("id IS NULL").collect()} == {None} and b.count() == 4
+    got = {(r["id"], r["t"], r["p"]): r["ref"] for r in b.collect()}
+    assert got["a", None, 5] == 7 and got["a", "x", 1] is None
+    got = {(r["id"], r["t"], r["p"]): r["ref"] for r in a.collect()}
+    assert len(got) == a.count() == 4 and got[None, "x", 5] is None and got["a", "x", 1] is None
+    plan_text = a.filter("id IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(id" in plan_text
+
+
 def test_component_join_rejects_december_in_january(spark):
     left = spark.createDataFrame([("c", 2021, 1), ("c", 2021, 12), ("c", 2019, 12)], "id string, y int, m int")
     right = spark.createDataFrame(
