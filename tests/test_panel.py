@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -112,7 +113,7 @@ def test_asof_equals_brute_force(spark, seed):
             )
 
 
-def test_asof_rows_without_key_stay_unmatched_and_unshuffled(spark):
+def test_asof_rows_without_key_stay_unmatched_and_where_they_are(spark):
     rows = spark.createDataFrame(
         [(None, "x", 5), (None, "x", 6), ("a", None, 5), ("a", "x", 1)], "id string, t string, p int"
     )
@@ -124,8 +125,8 @@ def test_asof_rows_without_key_stay_unmatched_and_unshuffled(spark):
     assert got["a", None, 5] == 7 and got["a", "x", 1] is None
     got = {(r["id"], r["t"], r["p"]): r["ref"] for r in a.collect()}
     assert len(got) == a.count() == 4 and got[None, "x", 5] is None and got["a", "x", 1] is None
-    plan_text = a.filter("id IS NULL")._jdf.queryExecution().optimizedPlan().toString()
-    assert "isnull(id" in plan_text
+    lost = asof._without_key(rows, records, ["id"], ["ref"])[1]
+    assert "Exchange" not in lost._jdf.queryExecution().executedPlan().toString()
 
 
 def test_component_join_rejects_december_in_january(spark):
@@ -175,6 +176,9 @@ def test_asof_shuffles_prices_twice_and_never_fans_out(spark, small):
     out = plan.build_model_table(prices, statements, since="1990-01-01", drop_unmatched=False)
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+    # the panel's rows move for the dedup and for join, lags and target together; the third is the series list
+    assert len(re.findall(r"Exchange hashpartitioning\(date#\d+, id_cnpj#", text)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(id_cnpj#\d+, ticker#", text)) == 2
     joined = plan.join_statements(
         plan.prepare_prices(prices, "1990-01-01"), plan.prepare_statements(statements)
     )
