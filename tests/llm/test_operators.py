@@ -370,6 +370,17 @@ def test_personal_data_random_strings(spark):
         assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
 
 
+def test_addresses_with_parts_of_zeros(spark):
+    values = ["10.0.0.1", "192.168.0.20", "127.0.0.0", "0.0.0.0", "1.2.3.00", "01.002.3.4", "000.0000.00.0255", "1.2.3.4"]
+    values += ["256.0.0.1", "0.0.0.256", "0.0.0300.0", "0.0.0", "00.1000.0.0", "0.0.0.0.0", "0" * 4000 + ".0.0.1", "0.0.0." + "0" * 4000 + "999"]
+    docs = {i: f"from {v}, then" for i, v in enumerate(values)}
+    want = {i: brute.personal(t) for i, t in docs.items()}
+    assert [len(want[i]) for i in range(16)] == [1] * 8 + [0] * 5 + [1, 1, 0]
+    assert spans(pii.find(table(spark, docs)).collect()) == want
+    texts = {r.doc_id: r.text for r in pii.redact(table(spark, docs)).collect()}
+    assert all("[IP]" in texts[i] for i, found in want.items() if found)
+
+
 def test_classifier_adds_probable_spans(spark):
     docs = {i: f"call me, phone +1 (212) 555-{i:04d} now" for i in range(60)}
     docs |= {100 + i: f"phone (312) 555-{i:04d} please" for i in range(30)}
