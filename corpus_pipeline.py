@@ -10,6 +10,11 @@ from pitscore.llm.queries import quality_model, word_tokenizer
 from pitscore.sources.io import scratch_path
 
 
+#: Near duplicates of the corpus are alike from this percentage on. A pair at exactly that shares none of
+#: these bands with probability 3e-6.
+NEAR_PERCENT, NEAR_ROWS, NEAR_BANDS = 80, 6, 42
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it learns from the labelled ones outside the held-out
     fold. A document without text is judged as an empty one."""
@@ -21,7 +26,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of smallest id. Rows repeated with one id and text count
     as copies, so one stays. Documents without words and rows without an id stay as they are."""
-    return near.keep_first(docs)
+    return near.keep_first(docs, NEAR_ROWS, NEAR_BANDS, NEAR_PERCENT)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,8 +330,8 @@ def near_duplicates(
     rows. Only ``doc_id`` and ``text`` are read.
 
     All texts that share a band's bucket are compared exactly, directly or by their differences from a
-    common head. A pair at exactly 85 % shares no band with probability 1e-6, pairs of higher similarity
-    far less often.
+    common head. With the defaults a pair at exactly 85 % shares no band with probability 1e-6, pairs of
+    higher similarity far less often; a lower ``percent`` asks for fewer ``rows`` and more ``bands``.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), *keep)
     found = materialize(features(source, rows, bands, width, ("doc_id", *keep)))
@@ -362,16 +362,17 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with all its columns, one row of each near-duplicate component: that of smallest id, and of
     rows repeated with that id one (of different texts the one of smallest hash). Rows without an id or
     without words all stay. Which rows go is looked up by a hash of id and text, so texts are not shuffled.
+    Links and their limits as in :func:`near_duplicates`.
     """
     key = "_key"
     while key in docs.columns:
         key += "_"
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = materialize(near_duplicates(keyed, keep=(key,)).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    found = materialize(near_duplicates(keyed, rows, bands, percent, keep=(key,)).where("doc_id IS NOT NULL AND n_shingles > 0"))
     copies = found.where("doc_id <> component_id").select(key)
     firsts = found.where("doc_id = component_id").groupBy("doc_id", key).agg(F.count("*").alias("n"))
     least = firsts.groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least <> most")

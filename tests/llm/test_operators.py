@@ -508,6 +508,18 @@ def test_pipeline_stages(spark, small):
     assert corpus_pipeline.run(spark, small).count() == docs.count()
 
 
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    docs = edited(3)
+    for base in range(20):
+        text = [f"b{base}x{k}" for k in range(100)]
+        for edits in ((), (30, 60), (30, 60, 90)):  # similarities 1, 86/106 and 81/111
+            docs[len(docs) + 1000] = " ".join("new" if k in edits else w for k, w in enumerate(text))
+    firsts = [{i for i, (_, c) in brute.components(docs, percent).items() if c == i} for percent in (80, 85)]
+    assert len(firsts[1]) >= len(firsts[0]) + 20
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, table(spark, docs), "")
+    assert {r.doc_id for r in got.collect()} == firsts[0]
+
+
 def test_pipeline_edges(spark, edges, none, small, tmp_path):
     for df in (edges, none):
         docs = df
