@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import chat, decontaminate, near, ngram, pack, pii, quality, repeats, rules, urls
+from pitscore.llm import chat, decontaminate, near, ngram, pack, pii, quality, repeats, rules, trie, urls, variants
 from pitscore.sources.io import materialize
 
 
@@ -122,9 +122,110 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate}
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some runs of which lose a letter, with their near words, forms and roots."""
+    words = variants.word_counts(_table(spark, sf_dir, "documents"), spoil=variants.SPOIL)
+    return variants.variants(words)
+
+
+def rebuilt(turns: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every conversation with its first turns taken from the one whose id is the next lower multiple of five:
+    h of them (the CRC-32 of its id modulo 9), then its own turns after its first h."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = sizes.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("donor"), h.alias("h"))
+    given = sizes.select(F.col("conv_id").alias("donor"), F.col("n").alias("given"))
+    convs = convs.join(given, "donor", "left")
+    convs = materialize(convs.withColumn("shift", F.col("h") - F.least("h", F.coalesce("given", F.lit(0)))))
+    heads = turns.where("pos <= 8").withColumnRenamed("conv_id", "donor")  # h is at most 8
+    first = heads.join(convs.select("conv_id", "donor", "h"), "donor").where("pos <= h")
+    own = turns.where(F.col("pos") > h)
+    own = trie.lookup(own, convs.select("conv_id", "shift"), ["conv_id"])
+    own = own.withColumn("pos", F.col("pos") - F.col("shift"))
+    return first.select(*turns.columns).unionByName(own.select(*turns.columns))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt to share its first turns with others."""
+    turns = materialize(trie.numbered(_table(spark, sf_dir, "conversations")))
+    sizes = materialize(turns.groupBy("conv_id").agg(F.max("pos").alias("n")))
+    found = trie.trie(materialize(rebuilt(turns, sizes)), sizes)
+    return found.drop(*trie.ID)
+
+
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate, "op12_variants": op12_variants, "op13_prefix_trie": op13_prefix_trie}
+
+#: CRC-32 of a column of text, as DuckDB SQL: its table is built by the rule of the reflected polynomial.
+CRC_TABLE = """(SELECT list(r ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT),
+    [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+    FROM range(256) t(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Needs ``CRC_TABLE`` in scope as ``crc_table``."""
+    codes = f"list_transform(range(length(hex(encode({text}))) // 2), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS INT), 2) AS BIGINT))"
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}),
+        lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"""
+
 
 ORACLES = {
+    "op12_variants": f"""
+        WITH RECURSIVE k AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_table),
+        r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+        h AS (SELECT run, n, {crc_sql("doc_id || ':' || run")} AS h FROM d, k),
+        v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0
+                THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+              WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+              FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+              UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+        b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near,
+                     first(n ORDER BY n DESC, near) AS m FROM p GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near,
+                CASE WHEN b.m >= 10 * v.n THEN b.near END AS form, CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n
+              FROM v LEFT JOIN b USING (word)),
+        w AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL
+              UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+        e AS (SELECT w.word, w.root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+        SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n
+        FROM f LEFT JOIN e USING (word)""",
+    "op13_prefix_trie": f"""
+        WITH k AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_table),
+        t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id
+                    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+              FROM conversations WHERE conv_id IS NOT NULL),
+        c AS MATERIALIZED (SELECT conv_id, n, {crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h
+              FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), k),
+        r AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t
+                  ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= c.h
+              UNION ALL
+              SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(d.n, 0)), t.role, t.text
+              FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+              LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 5),
+        m AS MATERIALIZED (SELECT conv_id, pos AS depth, octet_length(encode(text)) AS n_bytes,
+                sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+                       OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM r
+              UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        p AS MATERIALIZED (SELECT *, lag(node) OVER w AS up, lead(node) OVER w IS NULL AS ends FROM m
+              WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+        n AS MATERIALIZED (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(up) AS up,
+                min(n_bytes) AS n_bytes,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), ''))
+                    AS ends_sha256 FROM p GROUP BY node, depth),
+        ch AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+        s AS (SELECT a.node, sum(CASE WHEN ch.node IS NULL THEN 1 ELSE 0 END) AS n_leaves,
+                     sum((n.n_convs - 1) * n.n_bytes) AS saved_tokens
+              FROM (SELECT DISTINCT a.node, b.node AS under FROM m a
+                    JOIN m b ON a.conv_id = b.conv_id AND a.depth <= b.depth) a
+              JOIN n ON n.node = a.under LEFT JOIN ch ON ch.node = a.under GROUP BY a.node)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs,
+               coalesce(ch.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+               CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN s USING (node) LEFT JOIN ch USING (node) LEFT JOIN n q ON q.node = n.up""",
     "op10_decontaminate": r"""
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
