@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import chat, decontaminate, near, ngram, pack, pii, quality, repeats, rules, trie, urls, variants
+from pitscore.llm import chat, decontaminate, langid, near, ngram, pack, pii, quality, repeats, rules, trie, urls, variants
 from pitscore.sources.io import materialize
 
 
@@ -122,6 +122,22 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
+def piece_vocabulary() -> str:
+    """Path of the public vocabulary of pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of those outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.train(docs.where(remainder != 2), piece_vocabulary())
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, some runs of which lose a letter, with their near words, forms and roots."""
     words = variants.word_counts(_table(spark, sf_dir, "documents"), spoil=variants.SPOIL)
@@ -152,7 +168,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop(*trie.ID)
 
 
-QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate, "op12_variants": op12_variants, "op13_prefix_trie": op13_prefix_trie}
+QUERIES = {"op1_ngram": op1_ngram, "op2_quality": op2_quality, "op3_repeats": op3_repeats, "op4_urls": op4_urls, "op5_near_duplicates": op5_near_duplicates, "op6_rules": op6_rules, "op7_pack": op7_pack, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontaminate": op10_decontaminate, "op11_language": op11_language, "op12_variants": op12_variants, "op13_prefix_trie": op13_prefix_trie}
 
 #: CRC-32 of a column of text, as DuckDB SQL: its table is built by the rule of the reflected polynomial.
 CRC_TABLE = """(SELECT list(r ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT),
