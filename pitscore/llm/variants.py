@@ -146,7 +146,7 @@ class Index:
         width = 62 // bits
         left = np.flatnonzero(code == 0)[np.cumsum(code == 0) - (code == 0)] - np.arange(n)  # to the delimiter
         key = code.astype(np.int64)
-        for k in range(1, width):
+        for k in range(1, min(width, n)):
             after = np.zeros(n, np.int64)
             after[: n - k] = code[k:]
             key = (key << bits) | np.where(left >= k, after, 0)

@@ -9,7 +9,7 @@ class Store:
     """An array that grows at its end; room is doubled when it runs out."""
 
     def __init__(self, kind, width: int | None = None):
-        self._held = np.zeros((16, width) if width else 16, kind)
+        self._held = np.zeros(16 if width is None else (16, width), kind)
         self.n = 0
 
     def add(self, values: np.ndarray) -> None:

@@ -497,7 +497,7 @@ def test_pipeline_stages(spark, small):
         if name != "packing":
             assert out.columns == columns
         if name == "near duplicates":
-            want = {i for i, (n, c) in brute.components(before).items() if c == i or not n}
+            want = {i for i, (n, c) in brute.components(before, corpus_pipeline.NEAR_PERCENT).items() if c == i or not n}
             assert {r.doc_id for r in out.collect()} == want
         if name == "personal data":
             for r in out.collect():
