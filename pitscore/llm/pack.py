@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 
 from pitscore.llm.shared import ship
 from pitscore.llm.text import Prefix, Texts, blocks, byte_class, lower_ascii
+from pitscore.llm.wordcache import Store, WordNumbers
 
 CAPACITY = 2048
 #: The rest of a document is cut down to parts of this size; what is smaller stays in one part.
 GRAIN = 64
 END_ID = 1
 CACHED_WORDS = 1 << 20
+#: Words that go to the tokenizer in one string.
+LINE_WORDS = 200
 
 
 _LETTER = byte_class("[A-Za-z0-9]")
@@ -48,36 +52,38 @@ class WordTokenizer:
         special = self._tokenizer.get_added_tokens_decoder()
         self._special = [x.content for x in special.values()]
         self._mark = next((x.content, i) for i, x in sorted(special.items()))
+        self._alone = list(self._special)
+        control = self._ids_of(["\x01"])[0]
+        if len(control) == 1:  # set apart by spaces it costs the tokenizer less than a special token
+            self._mark = (" \x01 ", control[0])
+            self._alone.append("\x01")
         self._clear()
 
     def _clear(self):
-        self._known = np.zeros(0, np.uint64)  # sorted hashes
-        self._place = np.zeros(0, np.int64)  # their numbers in the store
-        self._start = np.zeros(1, np.int64)
-        self._ids = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Adds words, in order of their hashes. They are tokenized many at a time, set apart by a special
-        token; a word that holds special tokens goes alone."""
+        self._numbers = WordNumbers()
+        self._start, self._ids = Store(np.int64), Store(np.uint32)
+        self._start.add(np.zeros(1, np.int64))
+
+    def _learn(self, hashes: np.ndarray, words: list[str], special: bool) -> None:
+        """Adds words. They are tokenized many at a time, set apart by a mark; where the texts hold marks or
+        special tokens, words with one in them go alone."""
         mark, mark_id = self._mark
-        found: list[list[int]] = [[]] * len(words)
-        plain = [i for i, w in enumerate(words) if not any(s in w for s in self._special)]
-        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for line, x in zip(lines, self._ids_of([mark.join(words[i] for i in line) for line in lines]), strict=True):
-            ids = np.array(x, np.uint32)
-            cuts = np.flatnonzero(ids == mark_id)
-            for i, part in zip(line, np.split(ids, cuts), strict=True):
-                found[i] = part[1:] if i != line[0] else part
-        alone = [i for i, w in enumerate(words) if any(s in w for s in self._special)]
-        for i, x in zip(alone, self._ids_of([words[i] for i in alone]), strict=True):
-            found[i] = x
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.arange(len(self._start) - 1, len(self._start) - 1 + len(words))
-        flat = [np.asarray(x, np.uint32) for x in found]
-        self._ids = np.concatenate([self._ids, *flat])
-        self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
-        at = np.searchsorted(self._known, hashes)
-        self._known, self._place = np.insert(self._known, at, hashes), np.insert(self._place, at, numbers)
+        alone = {i for i, w in enumerate(words) if any(s in w for s in self._alone)} if special else ()
+        if alone:
+            order = [i for i in range(len(words)) if i not in alone]
+            self._learn(hashes[order], [words[i] for i in order], False)
+            order = sorted(alone)
+            hashes, lines = hashes[order], self._ids_of([words[i] for i in order])
+            sizes, ids = np.array([len(x) for x in lines]), np.array([i for x in lines for i in x], np.uint32)
+        else:
+            lines = self._ids_of([mark.join(words[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)])
+            total = sum(map(len, lines)) + len(lines)
+            ids = np.fromiter(chain.from_iterable(chain((mark_id,), x) for x in lines), np.uint32, total)
+            marks = np.flatnonzero(ids == mark_id)
+            sizes, ids = np.diff(np.append(marks, total)) - 1, np.delete(ids, marks)
+        self._start.add(self._start.values[-1] + np.cumsum(sizes))
+        self._ids.add(ids)
+        self._numbers.add(hashes)
 
     def _ids_of(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,8 +91,7 @@ class WordTokenizer:
     def _pieces(self, t: Texts):
         """Words, also cut between a letter or digit and a following stop, where the tokenizer always cuts;
         A-Z lower-cased as the tokenizer does, unless the texts hold a special token's opening."""
-        data = t.data
-        raw = data.tobytes()
+        data, raw = t.data, t.data.tobytes()
         if not any(s[:2].encode() in raw for s in self._special):
             data = lower_ascii(data)
         start, end, owner = t.words()
@@ -105,25 +110,24 @@ class WordTokenizer:
         data, start, end, owner = self._pieces(t)
         hashes = Prefix(data).ranges(start, end)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._known) > CACHED_WORDS:
+        if self._numbers.n > CACHED_WORDS:
             self._clear()
-        at = np.searchsorted(self._known, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self._known)
-        new[inside] = self._known[at[inside]] != unique[inside]
+        number = self._numbers.find(unique)
+        new = number < 0
         if new.any():
             raw = data.tobytes()
             spots = first[new]
             words = [raw[a:b].decode() for a, b in zip(start[spots].tolist(), end[spots].tolist(), strict=True)]
-            self._learn(unique[new], words)
-        number = self._place[np.searchsorted(self._known, unique)][which]
-        sizes = self._start[number + 1] - self._start[number]
+            self._learn(unique[new], words, any(s.encode() in raw for s in self._alone))
+            number = self._numbers.find(unique)
+        number, starts = number[which], self._start.values
+        sizes = starts[number + 1] - starts[number]
         per_text = np.bincount(owner, weights=sizes, minlength=len(t)).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         out = np.full(bounds[-1], end_id, np.uint32)
         begins = np.cumsum(sizes) - sizes
         inside = np.arange(sizes.sum()) - np.repeat(begins, sizes)
-        out[np.repeat(begins + owner, sizes) + inside] = self._ids[np.repeat(self._start[number], sizes) + inside]
+        out[np.repeat(begins + owner, sizes) + inside] = self._ids.values[np.repeat(starts[number], sizes) + inside]
         return out, bounds
 
 
