@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +133,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_shared: set[str] = set()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Sends this package to the workers once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shared:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{root.name}-core.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(target)
+    _shared.add(context.applicationId)
+
+
 _kept: list[list[str]] = []
 
 
@@ -141,10 +166,8 @@ def work_tables(spark: SparkSession):
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _kept.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(hadoop).delete(place, True)
+            delete_path(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
