@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pitscore.operators.binning import fit_edges
-from pitscore.operators.trees import CODES, Tree, best_first, code_matrix, coded, codes_of, grow
+from pitscore.operators.trees import CODES, Tree, best_first, code_matrix, codes_of, grow
+from pitscore.operators.trees import coded as code_rows
 from pitscore.sources.io import delete_path, materialize, scratch_path, share_package
 
 #: Trees whose weight differs from the one in the stored margins, before these are written anew.
@@ -110,7 +111,24 @@ def _prepared(df: DataFrame, features: Sequence[str], target: str, max_bins: int
         found = fit_edges(rows, features, target, max_bins, accuracy=10_000)
         edges = tuple(tuple(found[f]) for f in features)
     rows = rows.withColumns({k: v for k, v in extra.items() if k != _Y})
-    return coded(rows, features, edges, [_Y, *extra]), edges
+    return code_rows(rows, features, edges, [_Y, *extra]), edges
+
+
+def _columns(features, edges) -> tuple[tuple, tuple]:
+    return tuple(features), tuple(map(tuple, edges))
+
+
+def coded_rows(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], max_bins: int = 64, edges=None) -> tuple[DataFrame, tuple]:
+    """Rows of either class, ready for both learners as their ``coded`` argument: class, hash of the keys, balanced weight and codes."""
+    y, key = F.col(target), F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    rows = df.filter(y.isin(0, 1))
+    return _prepared(rows, features, target, max_bins, edges, {_KEY: key, _W: _balanced(rows, target), _MARGIN: F.lit(0.0)})
+
+
+def _balanced(rows: DataFrame, target: str):
+    n1, n0 = rows.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
+    share = (n1 + n0) / max(1, (n1 > 0) + (n0 > 0))
+    return F.when(F.col(target) == 1, share / max(1, n1)).otherwise(share / max(1, n0))
 
 
 def soft(g, alpha: float):
@@ -137,7 +155,7 @@ def _penalised_gain(alpha: float, lam: float, min_rows: int):
 def fit_boosted(
     df: DataFrame, features: Sequence[str], target: str, iterations: int = 100, depth: int = 6, rate: float = 0.1,
     alpha: float = 0.0, lam: float = 0.0, min_rows: int = 20, drop: float = 0.0, max_bins: int = 64, seed: int = 7,
-    edges: Sequence[Sequence[float]] | None = None, balanced: bool = True,
+    edges: Sequence[Sequence[float]] | None = None, balanced: bool = True, coded: DataFrame | None = None,
 ) -> TreeModel:
     """Gradient boosting of the log-loss, level by level, with balanced class weights.
 
@@ -145,21 +163,19 @@ def fit_boosted(
     ``S(G)**2 / (H + lam)``. With ``drop``, each earlier tree is left out of a round by that chance; with k left
     out, the new tree enters with ``rate / (k + 1)`` and those keep ``k / (k + 1)`` of their weight. Rows of
     targets other than 0 and 1 are passed by; missing values have a bin of their own. Edges come from quantile
-    sketches unless given. An iteration costs a job per level; without any split the model stays at one half.
+    sketches unless given; ``coded`` is a table from :func:`coded_rows` to use instead of ``df``. An iteration costs a
+    job per level; without any split the model stays at one half.
 
     A row's margin is stored for the tree weights of some round. What has changed since is added up in the
     tasks, and after ``REFRESH`` changes the margins are written anew and the old table goes.
     """
-    rows = df.filter(F.col(target).isin(0, 1))
-    weight: object = F.lit(1.0)
-    if balanced:
-        n1, n0 = rows.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
-        share = (n1 + n0) / max(1, (n1 > 0) + (n0 > 0))
-        weight = F.when(F.col(target) == 1, share / max(1, n1)).otherwise(share / max(1, n0))
-    table, edges = _prepared(rows, features, target, max_bins, edges, {_W: weight, _MARGIN: F.lit(0.0)})
-    spark, n_features = df.sparkSession, len(features)
+    if coded is None:
+        rows = df.filter(F.col(target).isin(0, 1))
+        weight = _balanced(rows, target) if balanced else F.lit(1.0)
+        coded, edges = _prepared(rows, features, target, max_bins, edges, {_W: weight, _MARGIN: F.lit(0.0)})
+    spark, n_features = coded.sparkSession, len(features)
     path = scratch_path(spark, "margins")
-    table.write.parquet(path)
+    coded.select(_Y, _W, _MARGIN, CODES).write.parquet(path)
     table = spark.read.parquet(path)
     rng, trees = random.Random(seed), []
     weights: list[float] = []
@@ -204,7 +220,7 @@ def fit_boosted(
             stored = list(weights)
     delete_path(spark, path)
     params = {"alpha": alpha, "lam": lam, "rate": rate, "drop": drop, "depth": depth, "min_rows": min_rows}
-    return TreeModel("boosted", tuple(features), tuple(map(tuple, edges)), tuple(trees), tuple(weights), params)
+    return TreeModel("boosted", *_columns(features, edges), tuple(trees), tuple(weights), params)
 
 
 def _refreshed(table: DataFrame, path: str, n_features: int, margins, changes) -> tuple[DataFrame, str]:
@@ -243,7 +259,7 @@ def fit_forest(
     df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int = 30, depth: int = 5,
     max_leaves: int | None = None, min_rows: int = 1, min_gain: float = 0.0, subset: str | int | None = "sqrt",
     bootstrap: bool = True, balanced: bool = True, max_bins: int = 64, seed: int = 7,
-    edges: Sequence[Sequence[float]] | None = None,
+    edges: Sequence[Sequence[float]] | None = None, coded: DataFrame | None = None,
 ) -> TreeModel:
     """Random forest by Gini impurity, all trees grown side by side: a job per level for the whole forest.
 
@@ -253,9 +269,11 @@ def fit_forest(
     ``max_leaves`` keeps the splits of largest gain, opened from the root. A node tries ``subset`` features
     (``sqrt``, a number, or all if None), drawn by seed, tree and node. A leaf holds the weighted share of 1s.
     """
-    key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    table, edges = _prepared(df, features, target, max_bins, edges, {_KEY: key})
-    table = materialize(table)
+    table = coded
+    if coded is None:
+        key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+        table, edges = _prepared(df, features, target, max_bins, edges, {_KEY: key})
+        table = materialize(table)
     n = len(features)
     size = n if subset is None else max(1, int(math.sqrt(n))) if subset == "sqrt" else min(n, int(subset))
     weights: dict[int, tuple[float, float]] = {}
@@ -301,4 +319,4 @@ def fit_forest(
             w0, w1 = weights.get(t, (1.0, 1.0))
             tree.value[leaf] = w1 * c1 / (w0 * c0 + w1 * c1) if w0 * c0 + w1 * c1 else 0.5
     params = {"depth": depth, "max_leaves": max_leaves, "min_rows": min_rows, "min_gain": min_gain, "trees": trees}
-    return TreeModel("forest", tuple(features), tuple(map(tuple, edges)), tuple(grown), (1 / max(trees, 1),) * trees, params)
+    return TreeModel("forest", *_columns(features, edges), tuple(grown), (1 / max(trees, 1),) * trees, params)

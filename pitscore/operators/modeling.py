@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitscore.operators.ensembles import TreeModel, fit_boosted, fit_forest
 from pitscore.operators.metrics import average_precision, roc_auc
 
 SEED = 7
@@ -50,6 +51,23 @@ SEARCH_SPACES = {
             "numTrees": (25, 50),
         },
     },
+    "penalised": {
+        "penalised": {
+            "alpha": (0.0, 1.0, 0.025),
+            "depth": (5, 12),
+            "drop": (0.0, 0.1, 0.1),
+            "iterations": (50, 1000),
+            "lam": (0.0, 1.0, 0.025),
+            "min_rows": (1000, 25000),
+        },
+        "budgeted": {
+            "depth": (5, 14),
+            "max_leaves": (10, 40),
+            "min_gain": (0.0, 1.0, 0.1),
+            "min_rows": (10, 60),
+            "trees": (25, 50),
+        },
+    },
 }
 
 
@@ -77,26 +95,35 @@ def classifier(family: str, target: str, **params):
     raise ValueError(f"unknown family {family!r}; use 'boosted' or 'forest'")
 
 
+#: Families grown by this library instead of Spark ML.
+GROWN = {"penalised": fit_boosted, "budgeted": fit_forest}
+
+
 def train(
     df: DataFrame, features: Sequence[str], target: str, family: str = "boosted", **params
-) -> PipelineModel:
+) -> PipelineModel | TreeModel:
     """Fit a tree classifier with balanced class weights. The fit reads ``df`` several times: pass a
-    materialized table."""
+    materialized table. Families: ``boosted`` and ``forest`` (Spark ML), ``penalised`` (boosting with L1, L2
+    and dropout) and ``budgeted`` (a forest with a leaf budget and weights per bag; takes ``keys``)."""
+    if family in GROWN:
+        return GROWN[family](df, features, target, **params)
     weighted = with_balanced_weight(df.filter(F.col(target).isin(0, 1)), target)
     return Pipeline(stages=[assembler(features), classifier(family, target, **params)]).fit(weighted)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel | TreeModel, df: DataFrame) -> DataFrame:
     """Add ``prediction`` (0/1) and ``prob`` (probability of 1); ids stay in the row."""
+    if isinstance(model, TreeModel):
+        return model.score(df)
     out = model.transform(df).withColumn("prob", vector_to_array("probability")[1])
     return out.withColumn("prediction", F.col("prediction").cast("int")).drop(*_ML_COLUMNS)
 
 
-def importances(model: PipelineModel, features: Sequence[str], digits: int | None = 2) -> DataFrame:
+def importances(model: PipelineModel | TreeModel, features: Sequence[str], digits: int | None = 2) -> DataFrame:
     """``name, importance``, highest first (one row per feature)."""
     from pyspark.sql import SparkSession
 
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances() if isinstance(model, TreeModel) else model.stages[-1].featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, values, strict=True)]
     out = SparkSession.getActiveSession().createDataFrame(rows, "name string, importance double")
     if digits is not None:
