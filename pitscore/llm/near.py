@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitscore.llm import packed
-from pitscore.llm.shared import load, save, ship
+from pitscore.llm.shared import load, save, shared_path, ship
 from pitscore.llm.text import Prefix, Texts, blocks, count_by, lower_ascii, mix, scan, seeds, windows
-from pitscore.sources.io import materialize, scratch_path
+from pitscore.sources.io import materialize
 
 WIDTH = 5
 ROWS, BANDS = 7, 36
@@ -272,7 +272,7 @@ class KeySet:
 
     def __init__(self, keys: DataFrame):
         spark = keys.sparkSession
-        self.folder, self.bits = scratch_path(spark, "keys"), max(2, (keys.count() >> 20).bit_length())
+        self.folder, self.bits = shared_path(spark, "keys"), max(2, (keys.count() >> 20).bit_length())
         folder, bits = self.folder, self.bits
         ship(spark)
 
@@ -287,19 +287,18 @@ class KeySet:
             for shard, blobs in packed.gathered(batches):
                 h = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
                 save(f"{folder}/keys-{shard:06d}.npy", h)
-                yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shard"])
 
         sent = keys.mapInArrow(send, packed.SCHEMA)
-        packed.to_shards(sent, 1 << bits).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+        self.there = packed.ShardSet(packed.to_shards(sent, 1 << bits).mapInArrow(write, "shard bigint"))
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         h = mix(keys.view(np.uint64))
         shards, found = h >> np.uint64(64 - self.bits), np.zeros(len(h), bool)
         for shard in np.unique(shards).tolist():
-            try:
-                known = load(f"{self.folder}/keys-{shard:06d}.npy")
-            except FileNotFoundError:
+            if shard not in self.there:
                 continue  # no key in this shard
+            known = load(f"{self.folder}/keys-{shard:06d}.npy")
             own = np.flatnonzero(shards == shard)
             at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
             found[own] = known[at] == h[own]

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitscore.llm.shared import load, save, ship
+from pitscore.llm.packed import ShardSet, to_shards
+from pitscore.llm.shared import load, save, shared_path, ship
 from pitscore.llm.text import Prefix, Texts, blocks, count_by, lower_ascii, mix, scan
-from pitscore.sources.io import scratch_path
+from pitscore.sources.io import materialize
 
 #: Hashes that no word has but by chance: before the first and after the last word of a text.
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -77,7 +78,7 @@ def _pack_pairs(before, after, count) -> bytes:
     before, after, count = before[order], after[order], count[order]
     first, sizes = np.unique(before, return_counts=True)
     head = np.array([len(first), len(after)], np.int64)
-    parts = [head, first, sizes.astype(np.uint32), after, count.astype(np.uint32)]
+    parts = [head, first, sizes.astype(np.uint32), after, narrow(count)]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -87,19 +88,29 @@ def _unpack_pairs(blob: bytes):
     first = np.frombuffer(blob, np.uint64, n, at)
     sizes = np.frombuffer(blob, np.uint32, n, at + 8 * n)
     after = np.frombuffer(blob, np.uint64, m, at + 12 * n)
-    count = np.frombuffer(blob, np.uint32, m, at + 12 * n + 8 * m)
+    count = _counts_at(blob, at + 12 * n + 8 * m)
     return np.repeat(first, sizes), after, count
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all fit, else in 64."""
+    return counts.astype(np.uint32 if counts.max(initial=0) <= 0xFFFFFFFF else np.uint64)
+
+
+def _counts_at(blob: bytes, at: int, n: int | None = None) -> np.ndarray:
+    """The counts that end a blob, as wide as they were written."""
+    n = n or int(np.frombuffer(blob, np.int64, 2)[1])
+    wide = len(blob) - at > 4 * n
+    return np.frombuffer(blob, np.uint64 if wide else np.uint32, n, at)
+
+
 def _pack_words(keys, columns) -> bytes:
-    return b"".join([np.int64(len(keys)).tobytes(), keys.tobytes(), *(c.astype(np.uint32).tobytes() for c in columns)])
+    return b"".join([np.int64(len(keys)).tobytes(), keys.tobytes(), narrow(np.stack(columns)).tobytes()])
 
 
 def _unpack_words(blob: bytes):
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    keys = np.frombuffer(blob, np.uint64, n, 8)
-    columns = [np.frombuffer(blob, np.uint32, n, 8 + 8 * n + 4 * n * k) for k in range(5)]
-    return keys, columns
+    return np.frombuffer(blob, np.uint64, n, 8), list(_counts_at(blob, 8 + 8 * n, 5 * n).reshape(5, n))
 
 
 def _grouped(batches):
@@ -122,6 +133,7 @@ class Model:
 
     folder: str
     shards: int
+    written: dict
     tokens: int
     words: int
     pair_types: int
@@ -150,10 +162,9 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     """
     spark = docs.sparkSession
     ship(spark)
-    folder = folder or scratch_path(spark, "ngram")
+    folder = folder or shared_path(spark, "ngram")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0))).first()[0]
     shards = max(8, -(-size // SHARD_BYTES))
-    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches):
         held, n = [], 0
@@ -189,7 +200,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             key, place, (total,) = _sum_sorted(pair_hash(before, after), [counts.astype(np.int64)])
             before, after = before[place], after[place]
             save(f"{folder}/pair-{shard:06d}.npy", key)
-            save(f"{folder}/pair-count-{shard:06d}.npy", np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
+            save(f"{folder}/pair-count-{shard:06d}.npy", narrow(total))
             kinds = np.bincount(np.minimum(total, 5), minlength=6)
             one = np.ones(len(key), np.int64)
             none = np.zeros(len(key), np.int64)
@@ -204,19 +215,19 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             cuts = np.searchsorted(_shard(words, shards), np.arange(shards + 1))
             used = np.flatnonzero(np.diff(cuts))
             blobs = [_pack_words(words[cuts[s] : cuts[s + 1]], [c[cuts[s] : cuts[s + 1]] for c in sums]) for s in used]
-            yield _rows([*used, -1], [*blobs, kinds.astype(np.int64).tobytes()])
+            yield _rows([*used, -1], [*blobs, np.append(kinds, shard).astype(np.int64).tobytes()])
 
     def merge_words(batches):
         for shard, blobs in _grouped(batches):
-            if shard < 0:
-                kinds = sum(np.frombuffer(b, np.int64) for b in blobs)
-                yield _totals(shard, [*kinds[1:5], kinds[1:].sum(), 0, 0])
+            if shard < 0:  # of every shard of pairs
+                for *kinds, own in (np.frombuffer(b, np.int64) for b in blobs):
+                    yield _totals(-1 - int(own), [*kinds[1:5], sum(kinds[1:]), 0, 0])
                 continue
             keys, columns = zip(*map(_unpack_words, blobs), strict=True)
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
             words, _, sums = _sum_sorted(np.concatenate(keys), columns)
             save(f"{folder}/word-{shard:06d}.npy", words)
-            save(f"{folder}/word-counts-{shard:06d}.npy", np.minimum(np.stack(sums, axis=1), 0xFFFFFFFF).astype(np.uint32))
+            save(f"{folder}/word-counts-{shard:06d}.npy", narrow(np.stack(sums, axis=1)))
             seen, before = sums[0], sums[1]
             kinds = np.bincount(np.minimum(before[before > 0], 5), minlength=6)
             yield _totals(shard, [*kinds[1:5], before.sum(), seen.sum(), (seen > 0).sum()])
@@ -228,9 +239,12 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
 
     packed = "shard int, blob binary"
     pairs = docs.select(text).mapInArrow(count, packed)
-    pairs = pairs.repartition(parts, "shard").sortWithinPartitions("shard")
-    words = pairs.mapInArrow(merge_pairs, packed).repartition(parts, "shard").sortWithinPartitions("shard")
-    found = words.mapInArrow(merge_words, "shard int, n array<bigint>")
+    words = to_shards(to_shards(pairs, shards).mapInArrow(merge_pairs, packed), shards)
+    found = materialize(words.mapInArrow(merge_words, "shard int, n array<bigint>"))
+    written = {
+        "pair": ShardSet(found.where("shard < 0").select((-1 - F.col("shard")).alias("shard"))),
+        "word": ShardSet(found.where("shard >= 0").select("shard")),
+    }
     sums = found.groupBy((F.col("shard") < 0).alias("pairs")).agg(
         *[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(7)]
     )
@@ -240,7 +254,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     n1, n2 = word[0], word[1]
     n3 = word[6] - n1 - n2
     gamma = (d[0] * n1 + d[1] * n2 + d[2] * n3) / word[4] if word[4] else 1.0
-    return Model(folder, shards, word[5], word[6], pair[4], discounts(pair[:4]), d, gamma)
+    return Model(folder, shards, written, word[5], word[6], pair[4], discounts(pair[:4]), d, gamma)
 
 
 class Reader:
@@ -253,13 +267,12 @@ class Reader:
 
     def _find(self, name: str, values: str, keys: np.ndarray, width: int) -> np.ndarray:
         """Values of sorted distinct keys; zeros where a key is not known."""
-        out = np.zeros((len(keys), width) if width else len(keys), np.uint32)
+        out = np.zeros((len(keys), width) if width else len(keys), np.uint64)
         cuts = np.searchsorted(_shard(keys, self.model.shards), np.arange(self.model.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            try:
-                known = load(f"{self.model.folder}/{name}-{s:06d}.npy")
-            except FileNotFoundError:
+            if int(s) not in self.model.written[name]:
                 continue  # a shard without entries
+            known = load(f"{self.model.folder}/{name}-{s:06d}.npy")
             own = keys[cuts[s] : cuts[s + 1]]
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             hit = known[at] == own

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "shard bigint, blob binary"
+MOST_SHARDS = 16
 
 
 def rows(shards, blobs) -> pa.RecordBatch:
@@ -28,9 +30,27 @@ def gathered(batches):
 
 
 def to_shards(df: DataFrame, shards: int) -> DataFrame:
-    """Brings the rows of each shard together, sorted, in as many tasks as the session shuffles to."""
-    parts = min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, "shard").sortWithinPartitions("shard")
+    """Brings the rows of each shard together, sorted, shards dealt out to tasks by their number. There are
+    as many tasks as the session shuffles to, or more, so that none gets over ``MOST_SHARDS`` of them."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(shards, wanted), -(-shards // MOST_SHARDS))
+    number = F.pmod(F.col("shard").cast("bigint"), F.lit(parts)).cast("int")
+    return df.repartitionById(parts, number).sortWithinPartitions("shard")
+
+
+class ShardSet:
+    """Numbers of the shards that were written, a bit each: for one of them a missing file is an error."""
+
+    def __init__(self, numbers: DataFrame):
+        """Runs the job that gives the column ``shard`` (0 or more)."""
+        bit = F.expr("shiftleft(1L, cast(shard % 64 as int))")
+        rows = numbers.groupBy(F.floor(F.col("shard") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+        self._bits = np.zeros(max((r.word for r in rows), default=-1) + 1, np.int64)
+        for r in rows:
+            self._bits[r.word] = r.bits
+
+    def __contains__(self, shard: int) -> bool:
+        return shard // 64 < len(self._bits) and bool(int(self._bits[shard // 64]) >> (shard % 64) & 1)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:

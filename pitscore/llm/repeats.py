@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitscore.llm import packed
-from pitscore.llm.shared import load, save, ship
+from pitscore.llm.shared import load, save, shared_path, ship
 from pitscore.llm.text import Prefix, Texts, blocks, mix
-from pitscore.sources.io import scratch_path
 
 LENGTH = 100
 #: A perfect difference set: each remainder by 31 but 0 is the difference of exactly one pair.
@@ -110,7 +109,7 @@ def _pack_marks(keys: np.ndarray, values: np.ndarray, bits: int):
         yield -1 - shard, packed.pack([doc, sizes.astype(np.uint32), values[a:b]])
 
 
-def _save_marks(folder: str, name: str, shard: int, blobs: list[bytes]) -> int:
+def _save_marks(folder: str, name: str, shard: int, blobs: list[bytes]) -> None:
     parts = [packed.unpack(b) for b in blobs]
     keys = np.concatenate([np.repeat(doc, sizes) for doc, sizes, _ in parts])
     values = np.concatenate([v for _, _, v in parts])
@@ -123,18 +122,16 @@ def _save_marks(folder: str, name: str, shard: int, blobs: list[bytes]) -> int:
     save(f"{folder}/{name}-doc-{shard:06d}.npy", doc)
     save(f"{folder}/{name}-at-{shard:06d}.npy", np.append(first, len(keys)).astype(np.int64))
     save(f"{folder}/{name}-mark-{shard:06d}.npy", values)
-    return len(values)
 
 
-def _marks(folder: str, name: str, keys: np.ndarray, bits: int):
+def _marks(folder: str, name: str, keys: np.ndarray, bits: int, there: packed.ShardSet):
     """Text index and value of every mark of some texts."""
     order = np.argsort(keys, kind="stable")
     texts, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for shard, a, b in _cuts(keys[order] >> np.uint64(64 - bits), bits):
-        try:
-            doc = load(f"{folder}/{name}-doc-{shard:06d}.npy")
-        except FileNotFoundError:
+        if shard not in there:
             continue  # no mark in this shard
+        doc = load(f"{folder}/{name}-doc-{shard:06d}.npy")
         own = keys[order[a:b]]
         at = np.minimum(np.searchsorted(doc, own), len(doc) - 1)
         hit = np.flatnonzero(doc[at] == own)
@@ -152,7 +149,7 @@ def _ranges(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _rank_blocks(docs: DataFrame, folder: str, bits: int) -> None:
+def _rank_blocks(docs: DataFrame, folder: str, bits: int) -> packed.ShardSet:
     """Step 1: sorted hashes of the sample blocks that occur twice or more."""
 
     def send(batches):
@@ -189,21 +186,20 @@ def _rank_blocks(docs: DataFrame, folder: str, bits: int) -> None:
             again = np.unique(low[1:][low[1:] == low[:-1]])
             if len(again):
                 save(f"{folder}/block-{shard:06d}.npy", again)
-            yield pa.RecordBatch.from_arrays([pa.array([len(again)], pa.int64())], ["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shard"])
 
     sent = docs.mapInArrow(send, packed.SCHEMA)
-    packed.to_shards(sent, 1 << bits).mapInArrow(rank, "n bigint").agg(F.sum("n")).collect()
+    return packed.ShardSet(packed.to_shards(sent, 1 << bits).mapInArrow(rank, "shard bigint"))
 
 
-def _repeated(h: np.ndarray, folder: str, bits: int) -> np.ndarray:
+def _repeated(h: np.ndarray, folder: str, bits: int, there: packed.ShardSet) -> np.ndarray:
     order = np.argsort(h)
     shard, low = _split(h[order], bits)
     found = np.zeros(len(h), bool)
     for s, a, b in _cuts(shard, bits):
-        try:
-            known = load(f"{folder}/block-{s:06d}.npy")
-        except FileNotFoundError:
+        if s not in there:
             continue  # none repeated in this shard
+        known = load(f"{folder}/block-{s:06d}.npy")
         at = np.minimum(np.searchsorted(known, low[a:b]), len(known) - 1)
         found[order[a:b]] = known[at] == low[a:b]
     return found
@@ -224,7 +220,7 @@ def _first_of(keys: list[np.ndarray], rank: np.ndarray, pos: np.ndarray):
     return order, flags
 
 
-def _sort_windows(docs: DataFrame, folder: str, bits: int) -> None:
+def _sort_windows(docs: DataFrame, folder: str, bits: int, ranked: packed.ShardSet) -> packed.ShardSet:
     """Step 2: marks ``2 * position`` (all strings over this sample position start earlier elsewhere) and
     ``2 * position + 1`` (its strings are still open)."""
 
@@ -258,7 +254,7 @@ def _sort_windows(docs: DataFrame, folder: str, bits: int) -> None:
                     continue
                 prefix = Prefix(t.data)
                 h = prefix.ranges(at, at + BLOCK)
-                again = _repeated(h, folder, bits)
+                again = _repeated(h, folder, bits, ranked)
                 at, owner, h = at[again], owner[again], h[again]
                 if not len(at):
                     continue
@@ -297,21 +293,21 @@ def _sort_windows(docs: DataFrame, folder: str, bits: int) -> None:
                 yield packed.rows(*zip(*out, strict=True))
 
     sent = packed.to_shards(docs.mapInArrow(send, packed.SCHEMA), 2 << bits)
-    _write_marks(sent.mapInArrow(sort, packed.SCHEMA), folder, "window", bits)
+    return _write_marks(sent.mapInArrow(sort, packed.SCHEMA), folder, "window", bits)
 
 
-def _write_marks(df: DataFrame, folder: str, name: str, bits: int) -> None:
+def _write_marks(df: DataFrame, folder: str, name: str, bits: int) -> packed.ShardSet:
     def write(batches):
         for shard, blobs in packed.gathered(batches):
-            n = _save_marks(folder, name, -1 - shard, blobs)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            _save_marks(folder, name, -1 - shard, blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int64())], ["shard"])
 
-    packed.to_shards(df, 1 << bits).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return packed.ShardSet(packed.to_shards(df, 1 << bits).mapInArrow(write, "shard bigint"))
 
 
-def _windows_of(t: Texts, keys: np.ndarray, folder: str, bits: int):
+def _windows_of(t: Texts, keys: np.ndarray, folder: str, bits: int, there: packed.ShardSet):
     """Byte ranges of the windows whose strings start earlier elsewhere, and of those still open."""
-    text, mark = _marks(folder, "window", keys, bits)
+    text, mark = _marks(folder, "window", keys, bits, there)
     low, high = t.bounds[text], t.bounds[text + 1]
     at = low + mark // 2
     start, end = np.maximum(at - REACH, low), np.minimum(at + LENGTH, high)
@@ -319,7 +315,7 @@ def _windows_of(t: Texts, keys: np.ndarray, folder: str, bits: int):
     return start[~open_], end[~open_], start[open_], end[open_]
 
 
-def _sort_strings(docs: DataFrame, folder: str, bits: int) -> None:
+def _sort_strings(docs: DataFrame, folder: str, bits: int, windows: packed.ShardSet) -> packed.ShardSet:
     """Step 3: marks the starts of open strings that start earlier elsewhere."""
 
     def send(batches):
@@ -347,7 +343,7 @@ def _sort_strings(docs: DataFrame, folder: str, bits: int) -> None:
                 prefix = Prefix(t.data)
                 tags = _tags(t, prefix)
                 keys = _key(every[t.first : t.first + len(t)], tags)
-                done_a, done_b, open_a, open_b = _windows_of(t, keys, folder, bits)
+                done_a, done_b, open_a, open_b = _windows_of(t, keys, folder, bits, windows)
                 last = LENGTH - 1  # a range of bytes holds the starts up to its end less this
                 start = np.flatnonzero(
                     _ranges(len(t.data), open_a, open_b - last) & ~_ranges(len(t.data), done_a, done_b - last)
@@ -381,7 +377,7 @@ def _sort_strings(docs: DataFrame, folder: str, bits: int) -> None:
                 yield packed.rows(*zip(*out, strict=True))
 
     sent = packed.to_shards(docs.mapInArrow(send, packed.SCHEMA), 2 << bits)
-    _write_marks(sent.mapInArrow(sort, packed.SCHEMA), folder, "start", bits)
+    return _write_marks(sent.mapInArrow(sort, packed.SCHEMA), folder, "start", bits)
 
 
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -399,14 +395,14 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, bucket_bytes: int =
     """
     spark = docs.sparkSession
     ship(spark)
-    folder = scratch_path(spark, "repeats")
+    folder = shared_path(spark, "repeats")
     order_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     source = docs.select(order_id.alias("id"), F.col("text").alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     bits = max(3, (max(1, size // bucket_bytes)).bit_length())
-    _rank_blocks(source, folder, bits)
-    _sort_windows(source, folder, bits)
-    _sort_strings(source, folder, bits)
+    ranked = _rank_blocks(source, folder, bits)
+    windows = _sort_windows(source, folder, bits, ranked)
+    starts = _sort_strings(source, folder, bits, windows)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -418,8 +414,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, bucket_bytes: int =
             out = {name: [] for name in names}
             for t in blocks(batch.column(2)):
                 keys = _key(every[t.first : t.first + len(t)], _tags(t, Prefix(t.data)))
-                start, end, _, _ = _windows_of(t, keys, folder, bits)
-                text, at = _marks(folder, "start", keys, bits)
+                start, end, _, _ = _windows_of(t, keys, folder, bits, windows)
+                text, at = _marks(folder, "start", keys, bits, starts)
                 at = t.bounds[text] + at
                 gone = _ranges(len(t.data), np.concatenate([start, at]), np.concatenate([end, at + LENGTH]))
                 running = np.concatenate([[0], np.cumsum(gone)])

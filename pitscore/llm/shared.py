@@ -11,6 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow.fs as pafs
 
+from pitscore.sources.io import scratch_path
+
 #: Maps a worker keeps open; the system limits them.
 MOST_MAPS = 10_000
 _open: dict[str, np.ndarray] = {}
@@ -23,6 +25,13 @@ def _local(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
+def shared_path(spark, name: str) -> str:
+    """A new folder in the shared one, with the file system that Spark takes it to be on: a path without a
+    scheme is one of the cluster's default store, not of each worker's disk."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def save(uri: str, array: np.ndarray) -> None:
     """Writes an array under its final name in one step, so a repeated task leaves one whole file."""
     path = _local(uri)
