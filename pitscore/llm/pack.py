@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: The rest of a document is cut down to parts of this size; what is smaller stays in one part.
 GRAIN = 64
 END_ID = 1
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 #: Words that go to the tokenizer in one string.
 LINE_WORDS = 200
 
