@@ -66,6 +66,19 @@ def asof_by_period(spark, sf_dir):
     )
 
 
+def asof_within_range(spark, sf_dir):
+    prices, statements = _panel(spark, sf_dir)
+    joined = plan.join_statements(
+        plan.prepare_prices(prices, SINCE),
+        plan.prepare_statements(statements),
+        within_range=True,
+        keys_from=plan.with_calendar(plan.known_prices(prices, SINCE)),
+    )
+    return _text_dates(
+        joined.select("date", *SERIES, "dt_safra_dre", "dt_refer", "amt_sales_revenue", "amt_net_profit")
+    )
+
+
 def shifted_model_table(spark, sf_dir):
     prices, statements = _panel(spark, sf_dir)
     out = plan.build_shifted_model_table(prices, statements, SINCE)
@@ -637,6 +650,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asof_target": asof_target,
     "asof_drop_unmatched": asof_drop_unmatched,
     "asof_by_period": asof_by_period,
+    "asof_within_range": asof_within_range,
     "shifted_model_table": shifted_model_table,
     "dedup_latest": dedup_latest,
     "clean_prices": clean_prices,

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.catalog import MODEL_FEATURES, SERIES, _lines_with_leak, training_panel
-from pitscore.operators import metrics, modeling, tuning
+from pitscore.catalog import MODEL_FEATURES, SERIES, _lines_with_leak, _split_scores, training_panel
+from pitscore.operators import binning, metrics, modeling, sketches, tuning
 from pitscore.operators.ensembles import fit_boosted, fit_forest
+from pitscore.operators.profile import dataset_description
 from pitscore.operators.selection import all_relevant, verdict_table
 from pitscore.operators.splits import hash_split
-from pitscore.sources import io
+from pitscore.sources import fixtures, io
 
 TREE_FEATURES = ["l_quantity", "discount_gap", "l_tax", "l_linenumber", "status_leak"]
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
@@ -139,6 +140,49 @@ def relevant_features(spark, sf_dir):
     )
 
 
+CELLS = 20
+
+
+def roc_curve(spark, sf_dir):
+    """ROC curve of bounded size per split."""
+    return metrics.roc_curve(_split_scores(spark, sf_dir), "cat_target", "prob", ["split"], CELLS)
+
+
+def ks_curve(spark, sf_dir):
+    """KS curve of bounded size."""
+    return metrics.ks_curve(fixtures.scored(spark, sf_dir), "cat_target", "prob", cells=CELLS)
+
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "discount_gap", "l_shipdate"]
+
+
+def sketched_description(spark, sf_dir):
+    """Description from sketches kept by year, one of which was stored twice; distinct counts are held to the
+    exact ones."""
+    lines = _lines_with_leak(spark, sf_dir).withColumn("dt_year", F.year("l_shipdate"))
+    path = io.scratch_path(spark, "sketches")
+    sketches.store_sketches(lines, SKETCHED, "dt_year", path)
+    sketches.store_sketches(lines.where("dt_year = 1996"), SKETCHED, "dt_year", path)
+    exact = dataset_description(lines.select(*SKETCHED)).select("column", F.col("n_distinct").alias("exact"))
+    found = sketches.description(sketches.read_sketches(spark, path)).join(exact, "column")
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.select("column", "n_missing", F.round("pct_missing", 9).alias("pct_missing"), close.alias("distinct_close"))
+
+
+def iv_from_sketches(spark, sf_dir):
+    """Bins of features cut at edges from stored quantile sketches: every row lies in one, and only the feature
+    that knows too much has a large IV."""
+    lines = _lines(spark, sf_dir).withColumn("half", F.pmod(F.col("l_orderkey"), F.lit(2)))
+    path = io.scratch_path(spark, "sketches")
+    sketches.store_sketches(lines, TREE_FEATURES, "half", path)
+    edges = sketches.edges(sketches.read_sketches(spark, path), TREE_FEATURES)
+    bins = binning.feature_bins(lines, TREE_FEATURES, "cat_target", edges=edges)
+    per = bins.groupBy(F.col("variable").alias("name")).agg(F.sum(F.col("n1") + F.col("n0")).alias("n_rows"))
+    iv = binning.iv_table(lines, TREE_FEATURES, "cat_target", edges=edges)
+    leak = iv.select("name", (F.col("iv") > 0.1).alias("knows"))
+    return per.join(leak, "name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boosted_nodes": boosted_nodes,
     "budgeted_nodes": budgeted_nodes,
@@ -146,4 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selection_verdicts": selection_verdicts,
     "planted_contract": planted_contract,
     "relevant_features": relevant_features,
+    "roc_curve": roc_curve,
+    "ks_curve": ks_curve,
+    "sketched_description": sketched_description,
+    "iv_from_sketches": iv_from_sketches,
 }

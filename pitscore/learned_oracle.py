@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pitscore.learned import CELLS, SKETCHED
 from pitscore.learned import ALPHA, LAM, LEAST_ROWS, LEAVES, RATE_CANDIDATES, RATE_FRACTIONS, TREE_FEATURES, VERDICT_ROUNDS
-from pitscore.oracle import HASH
+from pitscore.oracle import HASH, running, scored, split_scores
 
 LINES = """
 lines AS MATERIALIZED (
@@ -122,6 +123,20 @@ SELECT features, CAST(CASE decision WHEN 'confirmed' THEN 1 WHEN 'tentative' THE
          ELSE 2 + row_number() OVER (PARTITION BY decision ORDER BY importance DESC, features) END AS INTEGER) AS rank,
        decision = 'confirmed' AS support, decision, hits, importance FROM v"""
 
+def _curve(by: str, columns: str) -> str:
+    group = f"{by}, " if by else ""
+    return f"""d AS (SELECT *, floor((c1 + c0) * {CELLS} / (t1 + t0)) AS cell, round(abs(c1 / t1 - c0 / t0), 12) AS apart FROM run),
+k AS (SELECT *, row_number() OVER (PARTITION BY {group}cell ORDER BY score DESC) AS a,
+             row_number() OVER (PARTITION BY {group}cell ORDER BY score) AS f,
+             row_number() OVER (PARTITION BY {group}cell ORDER BY apart DESC, score) AS b FROM d)
+SELECT {group}score AS threshold, {columns} FROM k WHERE 1 IN (a, b, f)"""
+
+
+SKETCH_ROWS = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({e}) AS n_missing, round((count(*) - count({e})) / count(*) * 100, 9) AS pct_missing, true AS distinct_close FROM lineitem"
+    for c, e in ((c, "nullif(l_discount, 0)" if c == "discount_gap" else c) for c in SKETCHED)
+)
+
 ORACLES: dict[str, str] = {
     "boosted_nodes": BOOSTED,
     "budgeted_nodes": BUDGETED,
@@ -129,5 +144,12 @@ ORACLES: dict[str, str] = {
     "selection_verdicts": VERDICTS,
     "planted_contract": """SELECT family, 9 AS n_features, 'planted' AS first, true AS auc_above, true AS falls, true AS two_digits
 FROM (VALUES ('boosted'), ('budgeted'), ('forest'), ('penalised')) f(family)""",
+    "roc_curve": f"WITH {split_scores()}, {running('split_scores', 'split')}, "
+    + _curve("split", "(t0 - c0 + n0) / t0 AS fpr, (t1 - c1 + n1) / t1 AS tpr"),
+    "ks_curve": f"WITH {scored()}, {running('scored')}, "
+    + _curve("", "c1 / t1 AS cdf_event, c0 / t0 AS cdf_nonevent, abs(c1 / t1 - c0 / t0) AS distance"),
+    "sketched_description": SKETCH_ROWS,
+    "iv_from_sketches": f"WITH {LINES} SELECT unnest([{', '.join(repr(f) for f in TREE_FEATURES)}]) AS name, count(*) AS n_rows,"
+    " unnest([f = 'status_leak' FOR f IN [" + ", ".join(repr(f) for f in TREE_FEATURES) + "]]) AS knows FROM lines",
     "relevant_features": "SELECT 9 AS n_features, 1 AS n_planted, 0 AS n_odd",
 }

@@ -82,6 +82,7 @@ def asof_join(
     payload: Sequence[str],
     series_from: DataFrame | None = None,
     keyed: bool = False,
+    within_range: bool = False,
 ) -> DataFrame:
     """Left as-of join: each row gets the latest record of its key with ``record_period <= period``.
 
@@ -93,11 +94,15 @@ def asof_join(
 
     Rows without a key match nothing and are passed by the window, so that many of them do not land in one
     task. ``keyed`` says that there are none: then the rows are read once, and later lags find them shuffled.
+
+    ``within_range`` copies a record to a series only if it is the latest at some point between the series'
+    first and last ``period`` (which ``series_from`` must then hold): for keys with many short series the
+    copies follow their lengths, not series times records. It costs a sort of the records by key.
     """
     if not keyed:
         whole, lost = _without_key(rows, records, by, payload)
         found = asof_join(
-            whole, records, by, series, period, record_period, record_order, payload, series_from, keyed=True
+            whole, records, by, series, period, record_period, record_order, payload, series_from, True, within_range
         )
         return found.unionByName(lost)
     extra = [c for c in series if c not in by]
@@ -105,10 +110,31 @@ def asof_join(
     if extra:
         carried = list(dict.fromkeys([*by, record_period, *record_order, *payload]))
         source = rows if series_from is None else series_from
-        records = source.select(*series).distinct().join(records.select(*carried), on=list(by))
+        if within_range:
+            records = copies_within_range(source, records.select(*carried), by, series, period, record_period, record_order)
+        else:
+            records = source.select(*series).distinct().join(records.select(*carried), on=list(by))
     return _carry_latest(rows, records, series, period, record_period, record_order, payload)
 
 
+def copies_within_range(
+    rows: DataFrame, records: DataFrame, by: Sequence[str], series: Sequence[str], period: str, record_period: str,
+    record_order: Sequence[str],
+) -> DataFrame:
+    """The records copied to those series of their key during whose range of ``period`` they are the latest.
+
+    A record is the latest from its own period until that of the next one. Of a series' records that is one
+    from before its first row, and those that appear between its first and last row.
+    """
+    later = Window.partitionBy(*by).orderBy(record_period, *record_order)
+    timed = records.withColumn("_until", F.lead(record_period).over(later))
+    own, until = F.col(record_period), F.col("_until")
+    timed = timed.filter(until.isNull() | (until > own))
+    ranges = rows.groupBy(*series).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    met = (own <= F.col("_last")) & (until.isNull() | (until > F.col("_first")))
+    return ranges.join(timed, on=list(by)).filter(met).drop("_first", "_last", "_until")
+
+
 def asof_join_by_period(
     rows: DataFrame,
     records: DataFrame,

@@ -276,10 +276,9 @@ def fit_edges(
 
 
 def _sketched_prebins(
-    df: DataFrame, features: Sequence[str], target: str, max_prebins: int, accuracy: int
+    df: DataFrame, features: Sequence[str], target: str, edges: dict[str, list[float]]
 ) -> DataFrame:
     """Prebins cut at sketched edges: only (variable, slot) totals are shuffled, never values."""
-    edges = fit_edges(df, features, target, max_prebins, accuracy)
     frames = [
         rows.groupBy("variable", F.col("score").isNull().alias("_gone"), "_slot").agg(
             F.min("score").alias("lo"),
@@ -303,16 +302,20 @@ def feature_bins(
     trend: str | None = "auto",
     ranges: int | None = None,
     accuracy: int | None = None,
+    edges: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """Optimal bins of every feature, with missing values in a bin of their own (``bin`` 0).
 
     Prebins are exact unless ``accuracy`` is given: then their edges come from quantile sketches, which
-    suits very large tables of mostly unique values. Counts and IV are exact for the bins either way.
+    suits very large tables of mostly unique values. ``edges`` hands over edges found before, from stored
+    sketches, say. Counts and IV are exact for the bins either way.
     """
-    if accuracy is None:
+    if edges is not None:
+        pre = _sketched_prebins(df, features, target, edges)
+    elif accuracy is None:
         pre = _exact_prebins(df, features, target, max_prebins, ranges)
     else:
-        pre = _sketched_prebins(df, features, target, max_prebins, accuracy)
+        pre = _sketched_prebins(df, features, target, fit_edges(df, features, target, max_prebins, accuracy))
     bins = merge_prebins(pre, ["variable", "_gone"], min_n_bins, None, min_bin_share, trend)
     return bins.withColumn("bin", F.when(F.col("_gone"), 0).otherwise(F.col("bin"))).drop("_gone")
 

@@ -160,11 +160,44 @@ def ranking_metrics(
     return _aggregate(r, groups, _ks(4), _auc(), _precision())
 
 
+def _thinned(r: DataFrame, groups: Sequence[str], cells: int) -> DataFrame:
+    """Of the running counts at most three points for each of ``cells`` + 1 equal shares of the rows: the first
+    and the last one, and the one where the classes lie farthest apart (ties: the lower score)."""
+    apart = F.abs(F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c0"), F.col("t0")))
+    cell = F.floor(F.try_divide((F.col("c1") + F.col("c0")) * cells, F.col("t1") + F.col("t0")))
+    columns = ["score", "n1", "n0", "c1", "c0", "t1", "t0"]
+    point = F.struct(*columns)
+    far = F.max_by(point, F.struct(F.round(apart, 12), -F.col("score")))
+    kept = r.groupBy(*groups, cell.alias("_cell")).agg(F.array_distinct(F.array(F.min_by(point, "score"), F.max_by(point, "score"), far)).alias("_p"))
+    return kept.select(*groups, F.inline("_p"))
+
+
+def roc_curve(
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), cells: int = 500, ranges: int | None = None
+) -> DataFrame:
+    """``threshold, fpr, tpr`` of bounded size: at most ``3 * (cells + 1)`` points a group, however many
+    scores there are. The area under it differs from the exact one by at most ``n * n / (8 * cells * t1 * t0)``
+    (1 / (2 * cells) for classes of equal size), and the point of the largest KS distance is on it."""
+    r = _thinned(ranked(df, score, target, groups, ranges), groups, cells)
+    return _roc(r, groups)
+
+
+def ks_curve(
+    df: DataFrame, target: str, score: str, groups: Sequence[str] = (), cells: int = 500, ranges: int | None = None
+) -> DataFrame:
+    """``threshold, cdf_event, cdf_nonevent, distance`` of bounded size, as :func:`roc_curve`; the largest
+    distance is the exact KS."""
+    return _ks_curve(_thinned(ranked(df, score, target, groups, ranges), groups, cells), groups)
+
+
 def roc_points(
     df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """False and true positive rate at each distinct score used as threshold (``score >= threshold``)."""
-    r = ranked(df, score, target, groups, ranges)
+    return _roc(ranked(df, score, target, groups, ranges), groups)
+
+
+def _roc(r: DataFrame, groups: Sequence[str]) -> DataFrame:
     fp = F.col("t0") - F.col("c0") + F.col("n0")
     tp = F.col("t1") - F.col("c1") + F.col("n1")
     return r.select(
@@ -179,7 +212,10 @@ def ks_points(
     df: DataFrame, target: str, score: str, groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Both classes' cumulative shares, and their distance, at each distinct score."""
-    r = ranked(df, score, target, groups, ranges)
+    return _ks_curve(ranked(df, score, target, groups, ranges), groups)
+
+
+def _ks_curve(r: DataFrame, groups: Sequence[str]) -> DataFrame:
     cdf1 = F.try_divide(F.col("c1"), F.col("t1"))
     cdf0 = F.try_divide(F.col("c0"), F.col("t0"))
     return r.select(

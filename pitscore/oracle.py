@@ -466,6 +466,10 @@ ORACLES: dict[str, str] = {
     "asof_by_period": f"""WITH {clean(SINCE)}
 SELECT CAST(p.date AS VARCHAR) AS date, p.id_cnpj, p.ticker, p.dt_safra_dre,
        CAST(s.dt_refer AS VARCHAR) AS dt_refer, s.amt_sales_revenue, s.amt_net_profit
+FROM p ASOF LEFT JOIN s ON p.id_cnpj = s.id_cnpj AND p.dt_safra_dre >= s.safra""",
+    "asof_within_range": f"""WITH {clean(SINCE)}
+SELECT CAST(p.date AS VARCHAR) AS date, p.id_cnpj, p.ticker, p.dt_safra_dre,
+       CAST(s.dt_refer AS VARCHAR) AS dt_refer, s.amt_sales_revenue, s.amt_net_profit
 FROM p ASOF LEFT JOIN s ON p.id_cnpj = s.id_cnpj AND p.dt_safra_dre >= s.safra""",
     "shifted_model_table": f"""WITH {clean(SINCE)}, {SHIFTED}, {_theta("p", "shifted", ", s.dt_refer_lag")},
 l AS (SELECT *, lag(adj_close, 1) OVER w AS p1, lag(adj_close, 2) OVER w AS p2 FROM theta

@@ -56,12 +56,14 @@ def prepare_statements(statements: DataFrame) -> DataFrame:
 
 
 def join_statements(
-    prices: DataFrame, statements: DataFrame, by_period: bool = False, keys_from: DataFrame | None = None
-) -> DataFrame:
+    prices: DataFrame, statements: DataFrame, by_period: bool = False, keys_from: DataFrame | None = None,
+    within_range: bool = False,
+) -> DataFrame:
     """Left as-of join of prepared prices to prepared statements; the latest statement wins.
 
     A price row sees a statement when its ``dt_safra_dre`` is at or after ``_safra``, which is the same as
     its date being at or after ``_visible``. Ordering by date keeps the rows sorted for the lags.
+    ``within_range`` copies statements only to tickers traded while they are the latest.
     """
     payload = [c for c in statements.columns if c not in ("id_cnpj", "_safra", "_visible")]
     if by_period:
@@ -69,7 +71,7 @@ def join_statements(
             prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload, keys_from, keyed=True
         )
     return asof_join(
-        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from, keyed=True
+        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from, True, within_range
     )
 
 

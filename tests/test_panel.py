@@ -107,12 +107,29 @@ def test_asof_equals_brute_force(spark, seed):
     for n in (1, 9):
         a = asof.asof_join(left.repartition(n), right, ["id"], ["id", "t"], "p", "sp", ["ref"], ["ref"])
         b = asof.asof_join_by_period(left, right.repartition(n), ["id"], "p", "sp", ["ref"], ["ref"])
-        for out in (a, b):
+        c = asof.asof_join(left.repartition(n), right, ["id"], ["id", "t"], "p", "sp", ["ref"], ["ref"], within_range=True)
+        for out in (a, b, c):
             assert sorted(tuple(r) for r in out.select("id", "t", "d", "ref").collect()) == want or (
                 sorted(((r.id, r.t, r.d, r.ref) for r in out.collect()), key=str) == sorted(want, key=str)
             )
 
 
+def test_copies_follow_the_length_of_many_short_series(spark):
+    """A key with 300 series of three rows each and 200 records: series times records would be 60000 copies."""
+    rows = spark.range(900).select(
+        F.lit("c").alias("id"), (F.col("id") % 300).alias("t"), ((F.col("id") % 300) * 2 + F.floor(F.col("id") / 300)).alias("p")
+    )
+    records = spark.range(200).select(F.lit("c").alias("id"), (F.col("id") * 3).alias("sp"), F.col("id").alias("ref"))
+    records = records.union(records.where("ref % 2 = 0").selectExpr("id", "sp", "ref + 1000"))
+    copies = asof.copies_within_range(rows, records, ["id"], ["id", "t"], "p", "sp", ["ref"])
+    assert 300 <= copies.count() <= rows.count() + records.count()
+    near, far = (
+        sorted(map(tuple, asof.asof_join(rows, records, ["id"], ["id", "t"], "p", "sp", ["ref"], ["ref"], within_range=w).collect()))
+        for w in (True, False)
+    )
+    assert near == far
+
+
 def test_asof_rows_without_key_stay_unmatched_and_where_they_are(spark):
     rows = spark.createDataFrame(
         [(None, "x", 5), (None, "x", 6), ("a", None, 5), ("a", "x", 1)], "id string, t string, p int"
