@@ -15,6 +15,7 @@ from pitscore.catalog import MODEL_FEATURES, SERIES, _lines_with_leak, _split_sc
 from pitscore.operators import binning, metrics, modeling, sketches, tuning
 from pitscore.operators.ensembles import fit_boosted, fit_forest
 from pitscore.operators.profile import dataset_description
+from pitscore.operators.ranking import score_counts
 from pitscore.operators.selection import all_relevant, verdict_table
 from pitscore.operators.splits import hash_split
 from pitscore.sources import fixtures, io
@@ -140,6 +141,13 @@ def relevant_features(spark, sf_dir):
     )
 
 
+def supervised_bins(spark, sf_dir):
+    """Prebins of a score cut where the classes part best."""
+    counts = score_counts(fixtures.scored(spark, sf_dir), "prob", "cat_target")
+    pre = binning.supervised_prebins(counts)
+    return pre.select("prebin", "lo", "hi", F.col("n1").cast("bigint").alias("n1"), F.col("n0").cast("bigint").alias("n0"))
+
+
 CELLS = 20
 
 
@@ -190,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selection_verdicts": selection_verdicts,
     "planted_contract": planted_contract,
     "relevant_features": relevant_features,
+    "supervised_bins": supervised_bins,
     "roc_curve": roc_curve,
     "ks_curve": ks_curve,
     "sketched_description": sketched_description,

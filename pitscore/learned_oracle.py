@@ -132,6 +132,24 @@ k AS (SELECT *, row_number() OVER (PARTITION BY {group}cell ORDER BY score DESC)
 SELECT {group}score AS threshold, {columns} FROM k WHERE 1 IN (a, b, f)"""
 
 
+def _supervised(depth: int) -> str:
+    """Segments cut level by level after the score of the largest fall."""
+    levels, rows = [], "z"
+    for k in range(depth):
+        levels.append(f"""
+e{k} AS (SELECT *, min(c1 - n1) OVER w AS b1, min(c0 - n0) OVER w AS b0, max(c1) OVER w AS e1, max(c0) OVER w AS e0
+         FROM {rows} WINDOW w AS (PARTITION BY node)),
+f{k} AS (SELECT *, round({_impurity('e1 - b1', 'e0 - b0')} - {_impurity('c1 - b1', 'c0 - b0')} - {_impurity('e1 - c1', 'e0 - c0')}, 9) AS fall
+         FROM e{k} WHERE c1 - b1 + c0 - b0 >= (t1 + t0) * 0.05 AND e1 - c1 + e0 - c0 >= (t1 + t0) * 0.05),
+x{k} AS (SELECT node, score AS cut FROM f{k} WHERE fall > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY fall DESC, score) = 1),
+z{k} AS MATERIALIZED (SELECT z.* REPLACE (z.node * 2 + CASE WHEN score > cut THEN 1 ELSE 0 END AS node) FROM {rows} z LEFT JOIN x{k} USING (node))""")
+        rows = f"z{k}"
+    return f"""WITH {scored()}, {running('scored')}, z AS MATERIALIZED (SELECT 0 AS node, score, n1, n0, c1, c0, t1, t0 FROM run),
+{", ".join(levels)}
+SELECT CAST(row_number() OVER (ORDER BY node) AS INTEGER) AS prebin, min(score) AS lo, max(score) AS hi,
+       CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n0) AS BIGINT) AS n0 FROM {rows} GROUP BY node"""
+
+
 SKETCH_ROWS = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({e}) AS n_missing, round((count(*) - count({e})) / count(*) * 100, 9) AS pct_missing, true AS distinct_close FROM lineitem"
     for c, e in ((c, "nullif(l_discount, 0)" if c == "discount_gap" else c) for c in SKETCHED)
@@ -144,6 +162,7 @@ ORACLES: dict[str, str] = {
     "selection_verdicts": VERDICTS,
     "planted_contract": """SELECT family, 9 AS n_features, 'planted' AS first, true AS auc_above, true AS falls, true AS two_digits
 FROM (VALUES ('boosted'), ('budgeted'), ('forest'), ('penalised')) f(family)""",
+    "supervised_bins": _supervised(3),
     "roc_curve": f"WITH {split_scores()}, {running('split_scores', 'split')}, "
     + _curve("split", "(t0 - c0 + n0) / t0 AS fpr, (t1 - c1 + n1) / t1 AS tpr"),
     "ks_curve": f"WITH {scored()}, {running('scored')}, "

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pitscore.functions.columns import col, missing
 from pitscore.operators.ranking import class_counts, running_counts, score_counts
+from pitscore.sources.io import materialize
 
 TRENDS = (None, "auto", "auto_asc_desc", "ascending", "descending", "peak", "valley")
 _UNPIVOT_CHUNK = 64
@@ -71,6 +72,57 @@ def prebins(
     return slots.withColumn("prebin", F.row_number().over(w)).drop("_slot")
 
 
+def supervised_prebins(
+    counts: DataFrame,
+    groups: Sequence[str] = (),
+    depth: int = 3,
+    min_share: float = 0.05,
+    ranges: int | None = None,
+    keep_missing: bool = False,
+) -> DataFrame:
+    """As :func:`prebins`, but cut where the classes part best: at most ``2 ** depth`` prebins.
+
+    Level by level each segment is cut after the score that lowers the Gini impurity most, if both sides keep
+    ``min_share`` of the group's rows; of equal falls (to nine digits) the lowest score. A candidate's left side
+    follows from the running counts and the segment's own ends, so a level takes two aggregates over the
+    distinct scores and no window over a segment.
+    """
+    if 2**depth > MOST_PREBINS + 4:
+        raise ValueError("depth is at most 4: merging tries every mask over the prebins")
+    groups = list(groups)
+    rows = materialize(running_counts(counts, groups, ranges, keep_missing)).withColumn("_node", F.lit(0))
+    keys = [*groups, "_node"]
+
+    def same(other: str):
+        found = [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
+        return reduce(lambda a, b: a & b, found)
+
+    def impurity(n1, n0):  # times the rows
+        return F.coalesce(F.try_divide(n1 * n0 * 2.0, n1 + n0), F.lit(0.0))
+
+    for _ in range(depth):
+        ends = rows.groupBy(*keys).agg(
+            F.min(F.col("c1") - F.col("n1")).alias("b1"), F.min(F.col("c0") - F.col("n0")).alias("b0"),
+            F.max("c1").alias("e1"), F.max("c0").alias("e0"),
+        )
+        ends = materialize(ends)
+        tried = rows.alias("r").join(ends.alias("e"), same("e")).select("r.*", "b1", "b0", "e1", "e0")
+        l1, l0 = F.col("c1") - F.col("b1"), F.col("c0") - F.col("b0")
+        r1, r0 = F.col("e1") - F.col("c1"), F.col("e0") - F.col("c0")
+        fall = impurity(l1 + r1, l0 + r0) - impurity(l1, l0) - impurity(r1, r0)
+        least = (F.col("t1") + F.col("t0")) * min_share
+        tried = tried.filter((l1 + l0 >= least) & (r1 + r0 >= least)).withColumn("_fall", F.round(fall, 9)).filter("_fall > 0")
+        cuts = tried.groupBy(*keys).agg(F.max_by("score", F.struct("_fall", -F.col("score"))).alias("_cut"))
+        rows = rows.alias("r").join(materialize(cuts).alias("c"), same("c"), "left").select("r.*", "_cut")
+        right = F.coalesce(F.col("score") > F.col("_cut"), F.lit(False)).cast("int")
+        rows = rows.withColumn("_node", F.col("_node") * 2 + right).drop("_cut")
+    pre = rows.groupBy(*keys).agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
+    )
+    w = Window.partitionBy(*groups).orderBy("_node")
+    return pre.withColumn("prebin", F.row_number().over(w)).drop("_node")
+
+
 def _trend_ok(trend: str | None) -> Column:
     ups, downs, turns = F.col("ups") > 0, F.col("downs") > 0, F.col("turns")
     if trend is None:
@@ -173,9 +225,12 @@ def optimal_bins(
     min_bin_share: float = 0.1,
     trend: str | None = "auto",
     ranges: int | None = None,
+    supervised: bool = False,
 ) -> DataFrame:
-    """Optimal 1-D binning of a score; the ``hi`` of every bin but the last are its splits."""
-    pre = prebins(score_counts(df, score, target), (), max_prebins, ranges)
+    """Optimal 1-D binning of a score; the ``hi`` of every bin but the last are its splits. ``supervised`` takes
+    prebins from :func:`supervised_prebins` instead of ones of equal size."""
+    counts = score_counts(df, score, target)
+    pre = supervised_prebins(counts, ranges=ranges) if supervised else prebins(counts, (), max_prebins, ranges)
     return merge_prebins(pre, (), min_n_bins, None, min_bin_share, trend)
 
 
@@ -254,10 +309,12 @@ def _stack(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def _exact_prebins(
-    df: DataFrame, features: Sequence[str], target: str, max_prebins: int, ranges: int | None
+    df: DataFrame, features: Sequence[str], target: str, max_prebins: int, ranges: int | None, supervised: bool
 ) -> DataFrame:
     counts = _stack([class_counts(f, "score", "_y", ["variable"]) for f in _as_rows(df, features, target)])
     counts = counts.withColumn("_gone", F.col("score").isNull())
+    if supervised:
+        return supervised_prebins(counts, ["variable", "_gone"], ranges=ranges, keep_missing=True)
     return prebins(counts, ["variable", "_gone"], max_prebins, ranges, keep_missing=True)
 
 
@@ -303,17 +360,18 @@ def feature_bins(
     ranges: int | None = None,
     accuracy: int | None = None,
     edges: dict[str, list[float]] | None = None,
+    supervised: bool = False,
 ) -> DataFrame:
     """Optimal bins of every feature, with missing values in a bin of their own (``bin`` 0).
 
     Prebins are exact unless ``accuracy`` is given: then their edges come from quantile sketches, which
-    suits very large tables of mostly unique values. ``edges`` hands over edges found before, from stored
+    suits very large tables of mostly unique values. ``supervised`` cuts prebins where classes part best. ``edges`` hands over edges found before, from stored
     sketches, say. Counts and IV are exact for the bins either way.
     """
     if edges is not None:
         pre = _sketched_prebins(df, features, target, edges)
     elif accuracy is None:
-        pre = _exact_prebins(df, features, target, max_prebins, ranges)
+        pre = _exact_prebins(df, features, target, max_prebins, ranges, supervised)
     else:
         pre = _sketched_prebins(df, features, target, fit_edges(df, features, target, max_prebins, accuracy))
     bins = merge_prebins(pre, ["variable", "_gone"], min_n_bins, None, min_bin_share, trend)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_oracle import canonical
 
 from pitscore import learned, learned_oracle
-from pitscore.operators import modeling, selection, tuning
+from pitscore.operators import binning, modeling, selection, tuning
 from pitscore.operators.ensembles import coded_rows
 from pitscore.operators.trees import codes_of
 
@@ -136,3 +136,43 @@ def test_relevant_features_are_confirmed(planted, family, params):
     assert rows["a"].support and rows["b"].support and not rows["noise"].support and not rows["noise2"].support
     assert [r.rank for r in report.collect()] == sorted(r.rank for r in rows.values())
     assert selection.supported(report) == ["a", "b"]
+
+
+def plain_prebins(pairs, depth=3, share=0.05):
+    """Recursive best cuts over (value, class) pairs."""
+    n = len(pairs)
+
+    def impurity(rows):
+        ones = sum(y for _, y in rows)
+        return 2 * ones * (len(rows) - ones) / len(rows)
+
+    def cut(rows, depth):
+        best = None
+        for v in sorted({x for x, _ in rows}):
+            left, right = [r for r in rows if r[0] <= v], [r for r in rows if r[0] > v]
+            if min(len(left), len(right)) >= max(share * n, 1):
+                fall = round(impurity(rows) - impurity(left) - impurity(right), 9)
+                if fall > 0 and (best is None or fall > best[0]):
+                    best = (fall, left, right)
+        if depth == 0 or best is None:
+            return [rows]
+        return cut(best[1], depth - 1) + cut(best[2], depth - 1)
+
+    return [(min(r)[0], max(r)[0], sum(y for _, y in r), sum(1 - y for _, y in r)) for r in cut(pairs, depth)]
+
+
+def test_supervised_prebins_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    parts = {"a": rng.normal(size=300).round(1), "b": rng.integers(0, 4, 200).astype(float), "c": np.zeros(50)}
+    rows = [(g, float(x), int(rng.random() < 0.2 + 0.5 * (abs(x) > 1))) for g, v in parts.items() for x in v]
+    df = spark.createDataFrame([*rows, ("b", None, 1), ("b", float("nan"), 0)], "g string, x double, y int").repartition(4)
+    counts = binning.class_counts(df.where("x is not null and not isnan(x)"), "x", "y", ["g"]).withColumnRenamed("x", "score")
+    got = binning.supervised_prebins(counts, ["g"]).orderBy("g", "prebin").collect()
+    for g in parts:
+        want = plain_prebins([(x, y) for h, x, y in rows if h == g])
+        assert [(r.lo, r.hi, r.n1, r.n0) for r in got if r.g == g] == want
+    wide = df.withColumn("z", F.col("x") * 2)
+    iv = binning.iv_table(wide, ["x", "z"], "y", supervised=True).collect()
+    assert abs(iv[0].iv - iv[1].iv) < 1e-9 and iv[0].iv > 0
+    with pytest.raises(ValueError):
+        binning.supervised_prebins(counts, ["g"], depth=5)
