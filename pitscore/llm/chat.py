@@ -50,9 +50,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 def expand(turns: DataFrame) -> DataFrame:
     """One row per turn: ``conv_id, turn, segment, start`` (its place in the conversation's formatted text,
-    in characters) and, for a reply, ``example`` (its number, from 0), ``loss_start`` and ``loss_end``.
+    in characters) and, for a reply, its example: ``example`` (its number, from 0), ``prefix_end``, ``loss_start``
+    and ``loss_end``.
 
-    Example k is the conversation's segments up to that row; only the characters from ``loss_start`` to
+    Example k is the conversation's formatted text up to ``prefix_end``, all turns before the reply and the reply; only the characters from ``loss_start`` to
     ``loss_end`` are trained, the reply without its marks. Turns are ordered by ``turn``, then role and
     text; repeated turns stay. A null ``conv_id`` is a conversation of its own. A conversation without a
     reply has no example. An empty table gives no rows. Columns other than ``conv_id, turn, role, text``
@@ -61,7 +62,7 @@ def expand(turns: DataFrame) -> DataFrame:
     kinds = dict(turns.dtypes)
     rows = format_turns(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
     ship(turns.sparkSession)
-    names = ["conv_id", "turn", "segment", "start", "example", "loss_start", "loss_end"]
+    names = ["conv_id", "turn", "segment", "start", "example", "prefix_end", "loss_start", "loss_end"]
 
     def run(batches):
         current, begun, at, example = None, False, 0, 0
@@ -73,17 +74,18 @@ def expand(turns: DataFrame) -> DataFrame:
                 if not begun or conv != current:
                     current, begun, at, example = conv, True, 0, 0
                 if role == "assistant":
-                    out.append((at, example, at + len("<s>"), at + len(segment) - len("</s>")))
+                    end = at + len(segment)
+                    out.append((at, example, end, at + len("<s>"), end - len("</s>")))
                     example += 1
                 else:
-                    out.append((at, None, None, None))
+                    out.append((at, None, None, None, None))
                 at += len(segment)
             made = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *made], names)
 
     schema = (
         f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, segment string, start bigint, example bigint, "
-        "loss_start bigint, loss_end bigint"
+        "prefix_end bigint, loss_start bigint, loss_end bigint"
     )
     return rows.mapInArrow(run, schema)
 
@@ -111,13 +113,29 @@ def parse(segment: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def read_back(expanded: DataFrame) -> DataFrame:
+def _reply_of(example, at: int, segment: str, n_replies: int) -> str:
+    """The trained text of an example, after a check of its bounds against the text read so far: its prefix
+    holds all turns before and ends with this reply, and its mask leaves this reply and nothing else."""
+    number, prefix_end, a, b = example
+    inside = segment[a - at : b - at]
+    if number != n_replies or prefix_end != at + len(segment) or f"<s>{inside}</s>" != segment:
+        raise ValueError(f"example {number} does not end with its reply at {at}")
+    return unescape(inside)
+
+
+def read_back(expanded: DataFrame, streamed: bool = False) -> DataFrame:
     """Per conversation, from its formatted text alone: ``n_turns``, ``turns_sha256`` (role, newline, text,
     newline per turn), ``loss_chars`` and ``loss_sha256`` (all text under the loss masks, unescaped) and
-    ``formatted_chars``. Streams like :func:`expand`."""
+    ``formatted_chars``. Streams like :func:`expand`.
+
+    What is trained is read from the examples, one after the other. Each is checked first: one whose prefix
+    does not end with its reply, or whose mask is not exactly that reply, is an error, as is a reply without an
+    example. ``streamed`` says that the rows come straight from :func:`expand`, so that they need no shuffle.
+    """
     kind = dict(expanded.dtypes)["conv_id"]
-    rows = expanded.select("conv_id", "start", "turn", "segment", "loss_start", "loss_end")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "start")
+    rows = expanded.select("conv_id", "start", "turn", "segment", "example", "prefix_end", "loss_start", "loss_end")
+    if not streamed:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "start")
     ship(expanded.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -125,7 +143,7 @@ def read_back(expanded: DataFrame) -> DataFrame:
         state = None
 
         def close():
-            conv, n, turns, chars, loss, size = state
+            conv, n, turns, chars, loss, size, _ = state
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
         def made(done):
@@ -135,18 +153,21 @@ def read_back(expanded: DataFrame) -> DataFrame:
 
         for batch in batches:
             conv_type, done = batch.schema.field(0).type, []
-            for conv, start, segment, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
+            for conv, start, segment, *example in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7)), strict=True):
                 if state is None or conv != state[0]:
                     if state is not None:
                         done.append(close())
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 role, text = parse(segment)
+                if start != state[5] or (role == "assistant") != (example[0] is not None):
+                    raise ValueError(f"turn at {start} is out of place or not in the right examples")
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                if a is not None:
-                    reply = unescape(segment[a - start : b - start])
+                if example[0] is not None:
+                    reply = _reply_of(example, start, segment, state[6])
                     state[3] += len(reply)
                     state[4].update(reply.encode())
+                    state[6] += 1
                 state[5] += len(segment)
             if done:
                 yield made(done)

@@ -96,7 +96,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marked = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     extra = spark.createDataFrame(marked, "conv_id bigint, turn bigint, role string, text string")
-    return chat.read_back(chat.expand(turns.union(extra)))
+    return chat.read_back(chat.expand(turns.union(extra)), streamed=True)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
