@@ -129,6 +129,23 @@ def planted_contract(spark, sf_dir):
     return spark.createDataFrame(out, "family string, n_features int, first string, auc_above boolean, falls boolean, two_digits boolean")
 
 
+def search_contract(spark, sf_dir):
+    """Random search on all features: the trial it keeps is the best of its log, and the kept model's score on
+    the held-out rows is the logged one."""
+    panel = io.materialize(_planted_panel(spark, sf_dir))
+    fit_rows, held_out = panel.where("split = 'train'"), panel.where("split = 'test'")
+    features = [*MODEL_FEATURES, "planted"]
+    space = {
+        "boosted": {"maxDepth": (2, 3), "maxIter": (2, 4), "minInstancesPerNode": (50, 500)},
+        "forest": {"maxDepth": (2, 4), "numTrees": (4, 8), "minInstancesPerNode": (10, 60)},
+    }
+    model, family, params, log = modeling.search(fit_rows, held_out, features, "cat_target", space, ("boosted", "forest"), trials=4)
+    best = max(log, key=lambda r: (r[3], -r[0]))
+    auc = metrics.roc_auc(modeling.score(model, held_out), "cat_target", "prob").first()["auc"]
+    row = (len(log), (family, params) == (best[1], best[2]), abs(auc - best[3]) < 1e-9, min(r[3] for r in log) > 0.7)
+    return spark.createDataFrame([row], "n_trials int, kept_best boolean, same_auc boolean, all_learned boolean")
+
+
 def relevant_features(spark, sf_dir):
     """All-relevant selection by shadows with boosted trees, on all features and a planted one."""
     panel = io.materialize(_planted_panel(spark, sf_dir).where("split = 'train'"))
@@ -197,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "halving_log": halving_log,
     "selection_verdicts": selection_verdicts,
     "planted_contract": planted_contract,
+    "search_contract": search_contract,
     "relevant_features": relevant_features,
     "supervised_bins": supervised_bins,
     "roc_curve": roc_curve,

@@ -170,5 +170,6 @@ FROM (VALUES ('boosted'), ('budgeted'), ('forest'), ('penalised')) f(family)""",
     "sketched_description": SKETCH_ROWS,
     "iv_from_sketches": f"WITH {LINES} SELECT unnest([{', '.join(repr(f) for f in TREE_FEATURES)}]) AS name, count(*) AS n_rows,"
     " unnest([f = 'status_leak' FOR f IN [" + ", ".join(repr(f) for f in TREE_FEATURES) + "]]) AS knows FROM lines",
+    "search_contract": "SELECT 4 AS n_trials, true AS kept_best, true AS same_auc, true AS all_learned",
     "relevant_features": "SELECT 9 AS n_features, 1 AS n_planted, 0 AS n_odd",
 }
