@@ -15,8 +15,9 @@ equal sample blocks of ``LENGTH - PERIOD + 1`` bytes at that shift.
 
 Every text is scanned four times and never shuffled. Buckets hold packed arrays; a task has one bucket in
 memory, and equal entries are merged before they are sent, so a passage found everywhere sends one entry
-per task. Ranks and marks lie as sorted arrays in the shared folder and are mapped by the workers. Blocks,
-windows and strings are compared by hashes of 70 bits and more, not byte by byte.
+per task. Ranks and marks lie as sorted arrays in the shared folder and are mapped by the workers. Blocks
+and windows are compared by hashes of 70 bits and more, the strings left open by one of 64 bits, not byte by
+byte; suffixes are grouped by these hashes, not sorted, as only their first 100 bytes matter.
 """
 
 from __future__ import annotations
