@@ -29,13 +29,32 @@ MAX_WORD_DISTANCE = 0.45
 #: Shorter texts are not judged by that histogram.
 MIN_CHARS = 200
 MIN_WORDS = 100
+#: A language with fewer texts, or fewer words in them, that pass the base rules gets no reference.
+MIN_REFERENCE_TEXTS = 10
+MIN_REFERENCE_WORDS = 1000
+
+
+def words_and_repeats(t: Texts, prefix: Prefix) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text, and how many of them lie in windows of eight words that occur again in it."""
+    start, end, owner = t.words()
+    found, first = windows(prefix.ranges(start, end), owner, 8)
+    keys = mix(found + mix(owner[first].astype(np.uint64) + np.uint64(1)))
+    _, which, seen = np.unique(keys, return_inverse=True, return_counts=True)
+    again = first[seen[which] > 1]
+    cover = np.bincount(again, minlength=len(start) + 8) - np.bincount(again + 8, minlength=len(start) + 8)
+    repeated = np.cumsum(cover)[: len(start)] > 0
+    return count_by(owner, len(t)), count_by(owner[repeated], len(t))
+
+
+def fails_base(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
 def base_counts(t: Texts) -> dict[str, np.ndarray]:
     start, end, owner = t.words()
     n = len(t)
     prefix = Prefix(t.data)
-    n_words = count_by(owner, n)
+    n_words, n_repeat_words = words_and_repeats(t, prefix)
     character = (t.data & 0xC0) != 0x80
     running = np.concatenate([[0], np.cumsum(character)])
     chars = count_by(owner, n, (running[end] - running[start]).astype(float))
@@ -47,18 +66,12 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
     keys = mix(line + mix(line_owner.astype(np.uint64) + np.uint64(1)))
     firsts = np.unique(keys, return_index=True)[1]
     n_lines, distinct = count_by(line_owner, n), count_by(line_owner[firsts], n)
-    found, first = windows(prefix.ranges(start, end), owner, 8)
-    keys = mix(found + mix(owner[first].astype(np.uint64) + np.uint64(1)))
-    _, which, seen = np.unique(keys, return_inverse=True, return_counts=True)
-    again = first[seen[which] > 1]
-    cover = np.bincount(again, minlength=len(start) + 8) - np.bincount(again + 8, minlength=len(start) + 8)
-    repeated = np.cumsum(cover)[: len(start)] > 0
     return {
         "n_words": n_words,
         "word_chars": chars,
         "n_symbols": symbols[t.bounds[1:]] - symbols[t.bounds[:-1]],
         "n_dup_lines": n_lines - distinct,
-        "n_repeat_words": count_by(owner[repeated], n),
+        "n_repeat_words": n_repeat_words,
     }
 
 
@@ -93,19 +106,24 @@ def language_code():
     return F.coalesce(F.nullif(F.regexp_extract(F.lower("lang"), "^([a-z]{2,3})([-_].*)?$", 1), F.lit("")), F.lit("other"))
 
 
-def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, tuple]:
+def language_references(
+    docs: DataFrame, common_words: int = COMMON_WORDS, min_texts: int = MIN_REFERENCE_TEXTS, min_words: int = MIN_REFERENCE_WORDS
+) -> dict[str, tuple]:
     """Per language: its character-class distribution, and its most common words with their shares.
 
-    Counted over all texts; each task sums its own counts before the shuffle. What comes back is
-    ``common_words`` rows per language code.
-    """
-    rows = docs.select(language_code().alias("lang"), F.col("text").alias("text"))
+    Counted over all texts that pass the base rules and whose tag starts with a language code; each task
+    sums its own counts before the shuffle. A code with fewer than ``min_texts`` such texts or ``min_words``
+    words has no reference, so a few odd texts under a code of their own are no measure for themselves.
+    What comes back is ``common_words`` rows per language left.
+    """
+    rows = docs.select(language_code().alias("lang"), F.col("text").alias("text")).where("lang <> 'other' and text is not null")
     ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        chars, words = defaultdict(lambda: np.zeros(N_CLASSES, np.int64)), defaultdict(list)
+        # the last slot counts texts
+        chars, words = defaultdict(lambda: np.zeros(N_CLASSES + 1, np.int64)), defaultdict(list)
 
         def flush(lang):
             parts = words.pop(lang)
@@ -120,12 +138,12 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> di
         for batch in batches:
             names, codes = np.unique(np.array(batch.column(0).to_pylist(), str), return_inverse=True)
             for t in blocks(batch.column(1)):
-                own = codes[t.first : t.first + len(t)]
+                own = np.where(fails_base(*words_and_repeats(t, Prefix(t.data))), -1, codes[t.first : t.first + len(t)])
                 hist = class_histogram(t)
                 hashes, owner = _words(t)
-                for k in np.unique(own):
+                for k in np.unique(own[own >= 0]):
                     lang = str(names[k])
-                    chars[lang] += hist[own == k].sum(axis=0)
+                    chars[lang] += np.append(hist[own == k].sum(axis=0), np.count_nonzero(own == k))
                     words[lang].append(np.unique(hashes[own[owner] == k], return_counts=True))
                     held[lang] += len(words[lang][-1][0])
                     if held[lang] > 1 << 21:
@@ -135,22 +153,24 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> di
             yield flush(lang)
         for lang, h in chars.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang + "#"] * N_CLASSES, pa.string()), pa.array(np.arange(N_CLASSES)), pa.array(h)], ["lang", "word", "n"]
+                [pa.array([lang + "#"] * len(h), pa.string()), pa.array(np.arange(len(h))), pa.array(h)], ["lang", "word", "n"]
             )
 
     counts = materialize(
         rows.mapInArrow(run, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
+    texts = counts.where(F.endswith("lang", F.lit("#")) & (F.col("word") == N_CLASSES))
+    texts = texts.select(F.regexp_replace("lang", "#$", "").alias("lang"), F.col("n").alias("texts"))
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= max(min_words, 1))
+    sums = {r.lang: r.n for r in sizes.join(texts.where(F.col("texts") >= min_texts), "lang").collect()}
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words)
-    sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    used = counts.where(F.col("lang").isin([*sums, *[lang + "#" for lang in sums]]))
+    top = used.withColumn("rank", F.row_number().over(by_count)).where((F.col("rank") <= common_words) | F.endswith("lang", F.lit("#")))
     found = defaultdict(dict)
     for r in top.collect():
         found[r.lang][r.word] = r.n
     out = {}
-    for lang in sorted(found):
-        if lang.endswith("#") or not sums[lang]:
-            continue
+    for lang in sorted(sums):
         chars = np.array([found[lang + "#"].get(k, 0) for k in range(N_CLASSES)], float)
         keys = np.array(sorted(np.array(list(found[lang]), np.int64).view(np.uint64)), np.uint64)
         share = np.array([found[lang][int(k)] for k in keys.view(np.int64)], float) / sums[lang]
@@ -183,7 +203,8 @@ def quality_rules(
     A text fails by the base rules (fewer than 20 words, or over 30 % of its words in repeated windows of
     eight), or if it lies further than a threshold from every language reference; texts under ``min_chars``
     characters or ``min_words`` words are not judged by that histogram. Null and empty texts have no words
-    and fail. Without any reference (an empty table) only the base rules hold. Repeated rows are judged
+    and fail. Without any reference (an empty table, or too few texts of any language) only the base rules
+    hold. Repeated rows are judged
     alike. Other columns are not read.
     """
     if references is None:
@@ -193,7 +214,7 @@ def quality_rules(
     def work(t: Texts):
         out = base_counts(t)
         char, word = distances(t, shared.value)
-        failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+        failed = fails_base(out["n_words"], out["n_repeat_words"])
         far = np.zeros(len(t), bool)
         if shared.value:
             far = (out["word_chars"] >= min_chars) & (char > max_char_distance)

@@ -1,8 +1,11 @@
 """Operators on training data against plain versions, and on edge cases."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pitscore.llm import chat, decontaminate, near, ngram, pack, pii, quality, queries, repeats, rules, urls
+from pitscore.llm.text import Prefix
 from tests.llm import brute
 
 LONG = "word number " * 30_000
@@ -280,6 +284,105 @@ def test_rules_keep_prose_and_drop_junk(spark):
     assert rows[rows.quality == 1].kept.mean() > 0.995 and rows[rows.quality == 0].kept.mean() < 0.7
 
 
+def plain_references(docs, least_texts, least_words):
+    """{doc_id: (text, lang)} -> {lang: (class shares, {common word: share})}, in plain Python."""
+    counts, chars, n_texts = {}, {}, {}
+    for text, lang in docs.values():
+        if lang is None or text is None or plain_base_failed(text):
+            continue
+        counts.setdefault(lang, Counter()).update(plain_words(text))
+        chars.setdefault(lang, Counter()).update(plain_classes(text))
+        n_texts[lang] = n_texts.get(lang, 0) + 1
+    out = {}
+    for lang, c in counts.items():
+        total = sum(c.values())
+        if n_texts[lang] >= least_texts and total >= least_words:
+            top = sorted(c, key=lambda w: (-c[w], plain_hash(w)))[: rules.COMMON_WORDS]
+            size = sum(chars[lang].values())
+            out[lang] = ({k: n / size for k, n in chars[lang].items()}, {w: c[w] / total for w in top})
+    return out
+
+
+def plain_base_failed(text):
+    w = brute.words(text)
+    places = {}
+    for k in range(len(w) - 7):
+        places.setdefault(tuple(w[k : k + 8]), []).append(k)
+    again = {k + j for ks in places.values() if len(ks) > 1 for k in ks for j in range(8)}
+    return len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+
+
+def plain_hash(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(Prefix(raw).ranges(np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+
+
+def plain_classes(text):
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[.,;:!?'\"()-]", r"[#*$%&|<>]"]
+    for c in text:
+        known = [k for k, p in enumerate(kinds) if re.fullmatch(p, c)]
+        yield known[0] if known else 6 if c < "\x80" else 5 + len(c.encode())
+
+
+def plain_distance(counts, shares):
+    total = sum(counts.values())
+    if not total:
+        return 1.0
+    found = 0.0
+    for k in set(counts) | set(shares):
+        p, q = counts.get(k, 0) / total, shares.get(k, 0)
+        m = (p + q) / 2
+        found += sum(x * math.log2(x / m) for x in (p, q) if x > 0) / 2
+    return math.sqrt(min(max(found, 0), 1))
+
+
+def check_verdicts(rows, docs, references):
+    for r in rows:
+        text = docs[r.doc_id][0] or ""
+        low, classes = Counter(plain_words(text)), Counter(plain_classes(text))
+        char = min((plain_distance(classes, c) for c, _ in references.values()), default=1.0)
+        word = 1.0
+        for _, shares in references.values():
+            counts = Counter({w: low[w] for w in shares if low[w]})
+            counts[None] = sum(low.values()) - sum(counts.values())
+            word = min(word, plain_distance(counts, shares | {None: 1 - sum(shares.values())}))
+        assert abs(r.char_distance - char) < 1e-6 and abs(r.word_distance - word) < 1e-6, r.doc_id
+        far = r.word_chars >= rules.MIN_CHARS and char > rules.MAX_CHAR_DISTANCE
+        far = far or (r.n_words >= rules.MIN_WORDS and word > rules.MAX_WORD_DISTANCE)
+        assert r.kept == (not r.base_failed and not (far and bool(references))), r.doc_id
+
+
+def test_rule_verdicts_equal_plain_distances(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    docs = {r.doc_id: (r.text, r.lang) for r in df.collect()}
+    references = plain_references(docs, rules.MIN_REFERENCE_TEXTS, rules.MIN_REFERENCE_WORDS)
+    assert len(references) == 4
+    check_verdicts(rules.quality_rules(df).collect(), docs, references)
+
+
+def test_rule_references_come_from_enough_clean_texts(spark):
+    rng = np.random.default_rng(3)
+    common = [f"word{k}" for k in range(60)]
+    docs = {k: (" ".join(rng.choice(common, 150)), "en") for k in range(30)}
+    docs[100] = (" ".join(f"#{k}$%|" for k in rng.integers(0, 9**9, 400)), "xx")  # alone under its own code
+    docs[101] = (docs[100][0], None)
+    docs[102] = ("buy now " * 5000, "yy")  # fails the base rules, however long
+    for k in range(30):
+        docs[200 + k] = (docs[102][0], "en")  # more words than all clean texts, none counted
+    df = spark.createDataFrame([(i, *d) for i, d in docs.items()], "doc_id bigint, text string, lang string")
+    references = plain_references(docs, rules.MIN_REFERENCE_TEXTS, rules.MIN_REFERENCE_WORDS)
+    assert set(references) == {"en"} == set(rules.language_references(df))
+    rows = rules.quality_rules(df).collect()
+    check_verdicts(rows, docs, references)
+    kept = {r.doc_id for r in rows if r.kept}
+    assert kept == set(range(30))
+    assert rules.language_references(df.where("doc_id = 100"), min_texts=1, min_words=1).keys() == {"xx"}
+
+
 def test_divergence_is_a_distance():
     p = np.array([[1.0, 0, 0], [1, 1, 2], [0, 0, 0]])
     d = rules.distance(p, np.array([0.25, 0.25, 0.5]))
