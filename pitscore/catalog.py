@@ -619,7 +619,7 @@ def selection_refit(spark, sf_dir):
     noise = F.pmod(F.xxhash64("date", *SERIES), F.lit(1000)) / 1000.0
     panel = training_panel(spark, sf_dir).withColumn("planted", F.col("cat_target") + noise)
     report, model, _, _ = scoring.select_and_refit(
-        io.materialize(panel), [*MODEL_FEATURES[:3], "planted"], "001", rounds=8, family="forest", numTrees=5
+        io.materialize(panel), [*MODEL_FEATURES, "planted"], "001", rounds=8, family="forest", numTrees=5
     )
     fitted = model.stages[0].getInputCols()
     kept = F.col("features").isin(*fitted)

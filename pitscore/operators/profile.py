@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -48,32 +47,35 @@ def event_rate(
 def dataset_description(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, missing count (NULL and NaN), missing percent, distinct non-missing values.
 
-    Exact form: columns of one type are turned into (column, value) rows and counted. Equal values
-    combine map-side before the shuffle, and the key is (column, value). The table is scanned once per
-    type, for that type's columns. ``approximate=True`` keeps one sketch per column instead: a single pass without a shuffle of
-    values, for tables whose columns are mostly unique.
+    Exact form: every row becomes one (column, value) row per column in a single scan, and those are counted.
+    A value keeps its own type in a field of that type, so nothing is compared as text. Equal values combine
+    map-side before the shuffle, and the key is (column, value). ``approximate=True`` keeps one sketch per
+    column instead: a single pass without a shuffle of values, for tables whose columns are mostly unique.
+    A table without columns has no rows, one without rows none either.
     """
     types = dict(df.dtypes)
     if approximate:
         return _sketch_description(df, types)
-    by_type = defaultdict(list)
-    for c, t in df.dtypes:
-        by_type[t].append(c)
-    out = None
-    for t, cols in by_type.items():
-        present = df.select(*[F.when(~missing(f"`{c}`", t), F.col(f"`{c}`")).alias(c) for c in cols])
-        values = present.unpivot([], [f"`{c}`" for c in cols], "column", "value")
-        per_value = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        part = per_value.groupBy("column").agg(
-            F.lit(t).alias("type"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-            F.sum("n").alias("_rows"),
-            F.count("value").alias("n_distinct"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.select(
-        "column",
-        "type",
+    if not types:
+        empty = "column string, type string, n_missing bigint, pct_missing double, n_distinct bigint"
+        return df.sparkSession.createDataFrame([], empty)
+    kinds = {t: f"v{k}" for k, t in enumerate(dict.fromkeys(types.values()))}
+    values = []
+    for k, (c, t) in enumerate(types.items()):
+        gone = missing(f"`{c}`", t)
+        present = F.when(~gone, F.col(f"`{c}`"))
+        own = [(present if kind == t else F.lit(None).cast(kind)).alias(v) for kind, v in kinds.items()]
+        values.append(F.struct(F.lit(k).alias("no"), gone.alias("gone"), *own))
+    per_value = df.select(F.inline(F.array(*values))).groupBy("no", "gone", *kinds.values()).agg(F.count(F.lit(1)).alias("n"))
+    per_column = per_value.groupBy("no").agg(
+        F.coalesce(F.sum(F.when(F.col("gone"), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.sum("n").alias("_rows"),
+        F.count_if(~F.col("gone")).alias("n_distinct"),
+    )
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type")) for c, t in types.items()])
+    return per_column.select(
+        names[F.col("no")]["column"].alias("column"),
+        names[F.col("no")]["type"].alias("type"),
         "n_missing",
         (F.try_divide(F.col("n_missing"), F.col("_rows")) * 100).alias("pct_missing"),
         "n_distinct",

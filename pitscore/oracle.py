@@ -622,7 +622,7 @@ FROM panel CROSS JOIN (VALUES ('boosted'), ('forest')) f(family) GROUP BY family
     "shadow_contract": f"""WITH {PRICES}
 SELECT count(*) AS n, count(*) AS n_positions, count(*) AS n_donors, 0 AS n_in_place, sum(adj_close) AS total
 FROM prices""",
-    "selection_refit": "SELECT 4 AS n_features, 0 AS n_mismatch, 1 AS n_planted",
+    "selection_refit": "SELECT 9 AS n_features, 0 AS n_mismatch, 1 AS n_planted",
     "capped_training": f"""WITH {split_scores()}
 SELECT split, count(*) AS n,
        'discount_gap, l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax' AS features

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pitscore.operators.profile import dataset_description
 from pitscore.operators import binning, metrics, modeling, ranking
 from pitscore.sources import io
 
@@ -74,3 +75,19 @@ def test_too_many_prebins_are_refused(spark):
 def test_settings_do_not_depend_on_the_table():
     space = modeling.SEARCH_SPACES["all_variables"]["boosted"]
     assert {p["minInstancesPerNode"] for p in modeling.draw_params(space, 3, seed=1)} != {300}
+
+
+def test_description_scans_a_table_of_many_types_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(12).selectExpr(
+        "id AS `a.b`", "CASE WHEN id < 3 THEN NULL WHEN id < 5 THEN double('NaN') ELSE id % 2 - 0.0D END AS x",
+        "CAST(id % 4 AS STRING) AS `column`", "date_add(DATE'2020-01-01', CAST(id % 3 AS INT)) AS n",
+        "CAST(NULL AS STRING) AS nothing", "array(id % 2) AS list", "CAST(id % 5 AS DECIMAL(9, 2)) AS d",
+    ).write.parquet(path)
+    out = dataset_description(spark.read.parquet(path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    got = {r.column: (r.n_missing, r.n_distinct) for r in out.collect()}
+    assert got == {"a.b": (0, 12), "x": (5, 2), "column": (0, 4), "n": (0, 3), "nothing": (12, 0), "list": (0, 2), "d": (0, 5)}
+    assert dataset_description(spark.read.parquet(path).limit(0)).count() == 0
+    assert dataset_description(spark.read.parquet(path).select()).count() == 0
