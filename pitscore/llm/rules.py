@@ -164,10 +164,10 @@ def language_references(
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= max(min_words, 1))
     sums = {r.lang: r.n for r in sizes.join(texts.where(F.col("texts") >= min_texts), "lang").collect()}
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    used = counts.where(F.col("lang").isin([*sums, *[lang + "#" for lang in sums]]))
-    top = used.withColumn("rank", F.row_number().over(by_count)).where((F.col("rank") <= common_words) | F.endswith("lang", F.lit("#")))
+    common = counts.where(F.col("lang").isin([*sums])).withColumn("rank", F.row_number().over(by_count))
+    classes = counts.where(F.col("lang").isin([lang + "#" for lang in sums]) & (F.col("word") < N_CLASSES))
     found = defaultdict(dict)
-    for r in top.collect():
+    for r in common.where(F.col("rank") <= common_words).drop("rank").union(classes).collect():
         found[r.lang][r.word] = r.n
     out = {}
     for lang in sorted(sums):
