@@ -259,6 +259,11 @@ def select_spans(found: Column, weights: list[float] | None, threshold: float =
     return F.array_sort(kept)
 
 
+def of_kind(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind. The lambda takes one argument only: a second one would be the index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def written(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     name = F.array(*[F.lit(k) for k in KINDS])

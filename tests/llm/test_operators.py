@@ -473,6 +473,19 @@ def test_personal_data_random_strings(spark):
         assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
 
 
+def test_query_counts_spans_of_each_kind(spark, tmp_path):
+    docs = {
+        1: "4111 1111 1111 1111", 2: "+1 (743) 555-3824 and a@b.co", 3: "1.2.3.4 5.6.7.8 a@b.co", 4: None, 5: "",
+        6: "a@b.co, 4111 1111 1111 1111, +1 743 555 3824, 0.0.0.1, x@y.zz",
+    }
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op8_pii(spark, str(tmp_path)).collect():
+        want = brute.personal(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in want) for kind in range(4)], r
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
 def test_addresses_with_parts_of_zeros(spark):
     values = ["10.0.0.1", "192.168.0.20", "127.0.0.0", "0.0.0.0", "1.2.3.00", "01.002.3.4", "000.0000.00.0255", "1.2.3.4"]
     values += ["256.0.0.1", "0.0.0.256", "0.0.0300.0", "0.0.0", "00.1000.0.0", "0.0.0.0.0", "0" * 4000 + ".0.0.1", "0.0.0." + "0" * 4000 + "999"]
