@@ -105,11 +105,12 @@ def build_full_model_table(
 ) -> DataFrame:
     """The whole model table, 250 columns in their order, from raw prices and statements.
 
-    Both inputs are deduplicated before any feature is computed, so no window sees a row twice.
+    Both inputs are deduplicated before any feature is computed, so no window sees a row twice. Statements are
+    joined first: only bare price rows are shuffled, and their features are computed where the join left them.
     """
-    rows = price_features(prepare_prices(prices, since), SERIES, ["date"])
     records = statement_features(prepare_statements(statements), ["id_cnpj"], "dt_refer")
-    joined = join_statements(rows, records, keys_from=known_prices(prices, since))
+    rows = join_statements(prepare_prices(prices, since), records, keys_from=known_prices(prices, since))
+    joined = price_features(rows, SERIES, ["date"])
     out = project(add_target(joined, SERIES, "date", "adj_close", shift), V.model_columns())
     return out.filter(F.col("txt_company_name").isNotNull()) if drop_unmatched else out
 

@@ -278,3 +278,10 @@ def test_year_filter_reaches_the_scan(spark, small, tmp_path):
     text = table._jdf.queryExecution().executedPlan().toString()
     assert "dt_year" in text.split("PartitionFilters:")[1].split("]")[0]
     assert table.count() > 0
+
+
+def test_full_model_table_shuffles_bare_prices(spark, small):
+    full = plan.build_full_model_table(fixtures.messy_prices(spark, small), fixtures.messy_statements(spark, small), "1995-03-31")
+    text = full._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("Union") :]  # what is joined, and shuffled by series after it
+    assert "_n_adj_close_30" in text and "_n_adj_close_30" not in below
