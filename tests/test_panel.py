@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pitscore import catalog
 from pitscore.functions import vocabulary as V
 from pitscore.functions.columns import share_pct, sign_flag
 from pitscore.operators import asof, rolling, rows, series, splits
@@ -285,3 +286,21 @@ def test_full_model_table_shuffles_bare_prices(spark, small):
     text = full._jdf.queryExecution().executedPlan().toString()
     below = text[text.index("Union") :]  # what is joined, and shuffled by series after it
     assert "_n_adj_close_30" in text and "_n_adj_close_30" not in below
+
+
+def test_training_panel_shuffles_no_features(spark, small):
+    text = catalog.training_panel(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "_d_adj_close" in text and "_d_adj_close" not in text[text.index("Union") :]
+    assert "amt_groos_revenue, amt_groos_revenue" not in text  # amounts nobody asked for are not carried
+
+
+def test_features_joined_later_are_the_same(spark, small):
+    prices, statements = fixtures.prices(spark, small), fixtures.statements(spark, small)
+
+    def rich(df):
+        return rolling.RollingFeatures(df, plan.SERIES, ["date"]).stats("adj_close", [5]).slopes("adj_close", [11]).build()
+
+    for since in ("1995-03-31", "1999-01-15"):
+        before = plan.build_model_table(rich(prices), statements, since=since)
+        after = plan.build_model_table(prices, statements, since=since, features=rich).select(*before.columns)
+        assert before.count() > 0 and before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
