@@ -144,3 +144,19 @@ def test_risk_groups_follow_the_score(planted):
 
 def test_work_dir_comes_from_the_session(spark):
     assert io.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_shadow_rounds_shuffle_donors_only(spark):
+    rows = spark.range(3000).select(F.col("id").alias("_pos"), F.hash("id").alias("x"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    kept = selection.by_position(rows)
+    try:
+        assert kept.count() == 3000
+        pairs = selection.shadow_frame(kept, ["x"], 3000, 7)
+        text = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and text.count("ENSURE_REQUIREMENTS") == 1
+        assert pairs.exceptAll(selection.shadow_frame(rows, ["x"], 3000, 7)).isEmpty() and pairs.count() == 3000
+    finally:
+        kept.unpersist()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
