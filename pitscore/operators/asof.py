@@ -28,10 +28,12 @@ def _carry_latest(
     record_period: str,
     record_order: Sequence[str],
     payload: Sequence[str],
+    packed: str | None = None,
 ) -> DataFrame:
     """Rows plus the payload of the last record with ``record_period <= period`` in the same part.
 
-    Records take the rows' own period column, so the result stays sorted by it within each part.
+    Records come from :func:`_packed` and take the rows' own period column, so the result stays sorted by it
+    within each part. ``packed`` names a column that keeps the payload as one struct.
     """
     order_names = [f"_o{i}" for i in range(len(record_order))]
     left = rows.withColumn("_side", F.lit(1))
@@ -40,19 +42,29 @@ def _carry_latest(
         F.col(record_period).alias(period),
         F.lit(0).alias("_side"),
         *[F.col(c).alias(n) for c, n in zip(record_order, order_names, strict=True)],
-        F.struct(*payload).alias("_rec"),
+        "_rec",
     )
     w = (
         Window.partitionBy(*part)
         .orderBy(period, "_side", *order_names)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
+    found = (
         left.unionByName(right, allowMissingColumns=True)
         .withColumn("_rec", F.last("_rec", ignorenulls=True).over(w))
         .filter(F.col("_side") == 1)
-        .select(*rows.columns, *[F.col("_rec")[c].alias(c) for c in payload])
     )
+    if packed is not None:
+        return found.select(*rows.columns, F.col("_rec").alias(packed))
+    return found.select(*rows.columns, *[F.col("_rec")[c].alias(c) for c in payload])
+
+
+def _packed(
+    records: DataFrame, keys: Sequence[str], record_period: str, record_order: Sequence[str], payload: Sequence[str]
+) -> DataFrame:
+    """Records with their payload as the struct ``_rec``, so that copying, sorting and carrying one moves a
+    single value instead of a column for each of its fields."""
+    return records.select(*dict.fromkeys([*keys, record_period, *record_order]), F.struct(*payload).alias("_rec"))
 
 
 def _clean_records(records, keys, record_period):
@@ -83,6 +95,7 @@ def asof_join(
     series_from: DataFrame | None = None,
     keyed: bool = False,
     within_range: bool = False,
+    packed: str | None = None,
 ) -> DataFrame:
     """Left as-of join: each row gets the latest record of its key with ``record_period <= period``.
 
@@ -98,7 +111,12 @@ def asof_join(
     ``within_range`` copies a record to a series only if it is the latest at some point between the series'
     first and last ``period`` (which ``series_from`` must then hold): for keys with many short series the
     copies follow their lengths, not series times records. It costs a sort of the records by key.
+
+    ``packed`` (with ``keyed`` only) names a struct to keep the payload in: fields of a wide one are better taken
+    out after the windows that follow, as every operator in between handles each column of a row.
     """
+    if packed is not None and not keyed:
+        raise ValueError("packed asks for keyed rows")
     if not keyed:
         whole, lost = _without_key(rows, records, by, payload)
         found = asof_join(
@@ -106,15 +124,14 @@ def asof_join(
         )
         return found.unionByName(lost)
     extra = [c for c in series if c not in by]
-    records = _clean_records(records, by, record_period)
+    records = _packed(_clean_records(records, by, record_period), by, record_period, record_order, payload)
     if extra:
-        carried = list(dict.fromkeys([*by, record_period, *record_order, *payload]))
         source = rows if series_from is None else series_from
         if within_range:
-            records = copies_within_range(source, records.select(*carried), by, series, period, record_period, record_order)
+            records = copies_within_range(source, records, by, series, period, record_period, record_order)
         else:
-            records = source.select(*series).distinct().join(records.select(*carried), on=list(by))
-    return _carry_latest(rows, records, series, period, record_period, record_order, payload)
+            records = source.select(*series).distinct().join(records, on=list(by))
+    return _carry_latest(rows, records, series, period, record_period, record_order, payload, packed)
 
 
 def copies_within_range(
@@ -161,7 +178,7 @@ def asof_join_by_period(
     keys = (rows if keys_from is None else keys_from).select(*by, period).distinct()
     resolved = _carry_latest(
         keys,
-        _clean_records(records, by, record_period),
+        _packed(_clean_records(records, by, record_period), by, record_period, record_order, payload),
         by,
         period,
         record_period,

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pitscore.functions.columns import missing, share_pct
 from pitscore.operators.asof import join_group_total, with_group_total
+from pitscore.sources.io import share_package
 
 
 def grouped_count(
@@ -106,18 +111,81 @@ def _sketch_description(df: DataFrame, types: dict[str, str]) -> DataFrame:
 ROUNDING_SHIFT = 0.0123456789
 
 
+#: Groups that a task holds before it sends their totals on.
+_HELD_GROUPS = 4096
+
+
+def _group_numbers(batch: pa.RecordBatch, n_keys: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Keys of the groups in a batch, the rows in order of their groups, and where each group begins there."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for key in batch.columns[:n_keys]:
+        coded = key.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    some = batch.take(pa.array(order[starts]))
+    return list(zip(*(some.column(k).to_pylist() for k in range(n_keys)), strict=True)) if n_keys else [()], order, starts
+
+
+def _group_totals(n_keys: int, n_features: int):
+    """Function over batches of keys and an array of features that gives rows of keys, number of the feature,
+    how many values there are, and their sum: a row for each feature and group of a task."""
+
+    def lines(held: dict[tuple, list[np.ndarray]], fields: Sequence[pa.Field]) -> Iterator[pa.RecordBatch]:
+        groups, names = list(held), [*(f.name for f in fields), "_no", "_n", "_total"]
+        for start in range(0, len(groups), 64):
+            part = groups[start : start + 64]
+            keys = [pa.array([g[k] for g in part], f.type) for k, f in enumerate(fields)]
+            row = pa.array(np.repeat(np.arange(len(part)), n_features))
+            counts, sums = (np.concatenate([held[g][i] for g in part]) for i in (0, 1))
+            number = np.tile(np.arange(n_features, dtype=np.int32), len(part))
+            arrays = [*(key.take(row) for key in keys), pa.array(number), pa.array(counts), pa.array(sums, mask=counts == 0)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        fields: list[pa.Field] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fields = list(batch.schema)[:n_keys]
+            groups, order, starts = _group_numbers(batch, n_keys)
+            values = batch.column(n_keys).flatten()
+            there = pc.is_valid(values).to_numpy(zero_copy_only=False).reshape(-1, n_features)[order]
+            x = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False).reshape(-1, n_features)[order]
+            counts = np.add.reduceat(there, starts, axis=0, dtype=np.int64)
+            sums = np.add.reduceat(x, starts, axis=0)
+            for group, *found in zip(groups, counts, sums, strict=True):
+                known = held.setdefault(group, [0, 0.0])
+                known[:] = [a + b for a, b in zip(known, found, strict=True)]
+            if len(held) > _HELD_GROUPS:
+                yield from lines(held, fields)
+                held.clear()
+        yield from lines(held, fields)
+
+    return run
+
+
 def feature_totals(df: DataFrame, features: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """``groups, feature, n, total``: how many values each feature has, and their sum, in one pass.
 
-    Sums are shifted by a fixed odd fraction before rounding, so that a sum that ends in an exact half is
-    not rounded by its last bit.
+    Two aggregates for each of hundreds of features are too much for one aggregation buffer, so tasks total
+    their Arrow batches and Spark adds up a short row per task, group and feature. A batch has the features as
+    one array, as a column of its own for each costs Spark more than the sums. Sums are shifted by a fixed odd
+    fraction before rounding, so that a sum that ends in an exact half is not rounded by its last bit.
     """
-    sums = []
-    for f in features:
-        digits = 3 if f.startswith("pct_") else 1
-        sums += [F.count(f).alias(f"n_{f}"), F.round(F.sum(F.col(f).cast("double")) + ROUNDING_SHIFT, digits).alias(f"t_{f}")]
-    lines = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"t_{f}").alias("total"))
-        for f in features
-    ])
-    return df.groupBy(*groups).agg(*sums).select(*groups, F.inline(lines))
+    spark, features = df.sparkSession, list(features)
+    share_package(spark)
+    keys = [f"_g{i}" for i in range(len(groups))]
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], values.alias("_values"))
+    schema = StructType([*rows.select(*keys).schema]).add("_no", "integer").add("_n", "long").add("_total", "double")
+    parts = rows.mapInArrow(_group_totals(len(keys), len(features)), schema)
+    if not keys:  # without groups there is a line for each feature of no rows, too
+        nothing = spark.range(len(features)).selectExpr("CAST(id AS INT) AS _no", "0L AS _n", "CAST(NULL AS DOUBLE) AS _total")
+        parts = parts.unionByName(nothing)
+    sums = parts.groupBy(*keys, "_no").agg(F.sum("_n").alias("n"), (F.sum("_total") + ROUNDING_SHIFT).alias("_sum"))
+    name = F.array(*[F.lit(f) for f in features])[F.col("_no")]
+    total = F.when(name.startswith("pct_"), F.round("_sum", 3)).otherwise(F.round("_sum", 1))
+    named = [F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)]
+    return sums.select(*named, name.alias("feature"), "n", total.alias("total"))

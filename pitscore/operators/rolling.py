@@ -11,6 +11,9 @@ Counts, sums and products add up, minima and maxima nest, and the spread follows
 by the pooled-variance identity, so a constant window has no spread. All families asked for share the
 same (series, order) sort: one shuffle and at most four window nodes, however many features.
 
+Hundreds of features make rows of hundreds of intermediate columns, of which a window node copies each row.
+``build_in_arrow`` computes the same windows on Arrow batches instead (``windows.py``).
+
 Frames are partial at the start of a series and NULL values are skipped.
 """
 
@@ -19,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pitscore.functions import vocabulary as V
 from pitscore.operators.series import amplitude
-
-UNIT = 5
-TILE = 30
+from pitscore.operators.windows import TILE, UNIT, window_step
+from pitscore.sources.io import share_package
 
 
 def tile_plan(n: int, tile: int = TILE) -> list[tuple[int, int]]:
@@ -81,6 +84,7 @@ class RollingFeatures:
         self._tile_lags: dict[str, str] = {}
         self._means: dict[str, str] = {}
         self._out: dict[str, str] = {}
+        self._families: list[tuple] = []
 
     def build(self, keep: Sequence[str] | None = None) -> DataFrame:
         """``keep`` (default: all input columns) followed by the features."""
@@ -99,6 +103,22 @@ class RollingFeatures:
         base = self.df.columns if keep is None else keep
         return out.selectExpr(*map(_q, base), *[f"{e} AS {_q(n)}" for n, e in self._out.items()])
 
+    def build_in_arrow(self) -> DataFrame:
+        """As :meth:`build`, for many features: one sort, one narrow window node and one Arrow step, named in
+        the plan by the pieces it puts windows together from. Values are taken as doubles.
+
+        Spark takes what follows an Arrow step for unsorted rows: compute other windows before it.
+        """
+        share_package(self.df.sparkSession)
+        names = list(dict.fromkeys(value for _, value, *_ in self._families))
+        step = window_step(names, self._families, list(self._out))
+        step.__name__ = f"rolling: {', '.join([*self._units, *self._pieces])}"
+        fields = ", ".join(f"{_q(n)} {'int' if n.startswith('cat_') else 'double'}" for n in self._out)
+        # it depends on the rows before: not to be moved or repeated
+        found = F.arrow_udf(step, fields).asNondeterministic()("_t", *[F.expr(_double(n)) for n in names])
+        out = self.df.selectExpr("*", f"row_number() OVER ({self.w}) AS _t").withColumn("_found", found)
+        return out.selectExpr(*map(_q, self.df.columns), *[f"_found.{_q(n)}" for n in self._out])
+
     # -- pieces -----------------------------------------------------------------------------------
 
     def _lag(self, stage: dict[str, str], column: str, rows: int) -> str:
@@ -154,7 +174,8 @@ class RollingFeatures:
 
     def stats(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``amt_avg_/std_/min_/max_<label>_<N>``: mean, sample deviation, minimum, maximum."""
-        label, x = label or value, _double(value)
+        label, x, windows = label or value, _double(value), list(windows)
+        self._families.append(("stats", value, windows, label))
         for n in windows:
             counts = self._tiles(f"n_{value}", n, f"count({x}) {{over}}", _sum0)
             sums = self._tiles(f"s_{value}", n, f"sum({x}) {{over}}", _sum0)
@@ -171,10 +192,12 @@ class RollingFeatures:
 
     def changes(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``pct_tx_<label>_<N>d``: change over N rows; NULL when the older value is 0 or missing."""
+        label, windows = label or value, list(windows)
+        self._families.append(("changes", value, windows, label))
         for n in windows:
             base = f"_c_{value}_{n}"
             self._first[base] = f"lag({_q(value)}, {n}) OVER ({self.w})"
-            self._out[f"pct_tx_{label or value}_{n}d"] = (
+            self._out[f"pct_tx_{label}_{n}d"] = (
                 f"try_divide({_q(value)} - {_q(base)}, abs({_q(base)}))"
             )
         return self
@@ -184,13 +207,15 @@ class RollingFeatures:
         self._first["_t"] = f"CAST(row_number() OVER ({self.w}) AS DOUBLE)"
         x = _double(value)
         t = f"CASE WHEN {x} IS NOT NULL THEN _t END"
+        label, windows = label or value, list(windows)
+        self._families.append(("slopes", value, windows, label))
         for n in windows:
             size = self._total(f"n_{value}", n, x, "count")
             st = self._total(f"t_{value}", n, t)
             sx = self._total(f"s_{value}", n, x)
             stt = self._total(f"tt_{value}", n, f"({t}) * _t")
             stx = self._total(f"tx_{value}", n, f"_t * {x}")
-            self._out[f"amt_beta_{label or value}_{n}"] = (
+            self._out[f"amt_beta_{label}_{n}"] = (
                 f"try_divide({size} * {stx} - {st} * {sx}, {size} * {stt} - {st} * {st})"
             )
         return self
@@ -199,23 +224,25 @@ class RollingFeatures:
         self, value: str, windows: Iterable[int], high: bool, label: str | None = None
     ) -> RollingFeatures:
         """``cat_<label>_broke_high_<N>`` / ``_low_``: 1 when beyond all of the previous N rows."""
-        x = _double(value)
+        x, label, windows = _double(value), label or value, list(windows)
+        self._families.append(("breakouts", value, windows, label, high))
         for n in windows:
             side, op = ("high", ">") if high else ("low", "<")
             edge = self._extreme(value, n, high, skip=1)
-            self._out[f"cat_{label or value}_broke_{side}_{n}"] = f"CAST({x} {op} {edge} AS INT)"
+            self._out[f"cat_{label}_broke_{side}_{n}"] = f"CAST({x} {op} {edge} AS INT)"
         return self
 
     def strength(self, value: str, windows: Iterable[int], label: str | None = None) -> RollingFeatures:
         """``amt_IFR_<label>_<N>``: 100 - 100 / (1 + gains / losses); 100 without losses."""
         move = f"_d_{value}"
         self._first[move] = f"{_double(value)} - lag({_double(value)}, 1) OVER ({self.w})"
-        d = _q(move)
+        d, label, windows = _q(move), label or value, list(windows)
+        self._families.append(("strength", value, windows, label))
         for n in windows:
             moves = self._total(f"m_{value}", n, d, "count")
             gains = self._total(f"g_{value}", n, f"CASE WHEN {d} > 0 THEN {d} WHEN {d} <= 0 THEN 0D END")
             losses = self._total(f"l_{value}", n, f"CASE WHEN {d} < 0 THEN -{d} WHEN {d} >= 0 THEN 0D END")
-            self._out[f"amt_IFR_{label or value}_{n}"] = (
+            self._out[f"amt_IFR_{label}_{n}"] = (
                 f"CASE WHEN {moves} > 0 THEN CASE WHEN {losses} = 0 THEN 100D "
                 f"ELSE 100 - 100D / (1 + {gains} / {losses}) END END"
             )
@@ -254,4 +281,4 @@ def price_features(df: DataFrame, series: Sequence[str], order: Sequence[str]) -
         p.breakouts(c, V.BREAK_WINDOWS, high=True)
     for c in V.BREAK_LOW_COLUMNS:
         p.breakouts(c, V.BREAK_WINDOWS, high=False)
-    return p.strength("adj_close", V.STRENGTH_WINDOWS).build()
+    return p.strength("adj_close", V.STRENGTH_WINDOWS).build_in_arrow()

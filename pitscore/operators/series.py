@@ -63,6 +63,21 @@ def amplitude(high: str = "high_price", close: str = "close") -> Column:
     return F.col(high) - F.col(close)
 
 
+def with_target(
+    df: DataFrame,
+    partition_var: str | Sequence[str],
+    order_var: str | Sequence[str],
+    price: str,
+    shift: int = 1,
+    var_name: str = "var_target",
+    cat_name: str = "cat_target",
+) -> DataFrame:
+    """Change of the price ``shift`` rows back over the row before it, and its sign flag, for every row."""
+    w = series_window(partition_var, order_var)
+    newer, older = F.lag(price, shift).over(w), F.lag(price, shift + 1).over(w)
+    return df.withColumn(var_name, relative_change(newer, older)).withColumn(cat_name, sign_flag(var_name))
+
+
 def add_target(
     df: DataFrame,
     partition_var: str | Sequence[str],
@@ -77,10 +92,5 @@ def add_target(
     With ``shift=1``: ``(p[t-1] - p[t-2]) / |p[t-2]|``. Rows without a flag are dropped, so the first
     two rows of a series vanish. ``shift=0`` is the same-day change, ``shift=-1`` the next day's.
     """
-    w = series_window(partition_var, order_var)
-    newer, older = F.lag(price, shift).over(w), F.lag(price, shift + 1).over(w)
-    return (
-        df.withColumn(var_name, relative_change(newer, older))
-        .withColumn(cat_name, sign_flag(var_name))
-        .filter(F.col(cat_name).isNotNull())
-    )
+    flagged = with_target(df, partition_var, order_var, price, shift, var_name, cat_name)
+    return flagged.filter(F.col(cat_name).isNotNull())

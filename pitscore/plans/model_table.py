@@ -12,7 +12,7 @@ from pitscore.functions.columns import period_key, period_of
 from pitscore.operators.asof import asof_join, asof_join_by_period, component_theta_join, shifted_period_join
 from pitscore.operators.rolling import price_features
 from pitscore.operators.rows import keep_one, project
-from pitscore.operators.series import add_target
+from pitscore.operators.series import add_target, with_target
 from pitscore.operators.statements import statement_features
 
 # The unknown company, the first day kept, and the days a statement takes to be published.
@@ -58,13 +58,14 @@ def prepare_statements(statements: DataFrame) -> DataFrame:
 
 def join_statements(
     prices: DataFrame, statements: DataFrame, by_period: bool = False, keys_from: DataFrame | None = None,
-    within_range: bool = False,
+    within_range: bool = False, packed: str | None = None,
 ) -> DataFrame:
     """Left as-of join of prepared prices to prepared statements; the latest statement wins.
 
     A price row sees a statement when its ``dt_safra_dre`` is at or after ``_safra``, which is the same as
     its date being at or after ``_visible``. Ordering by date keeps the rows sorted for the lags.
-    ``within_range`` copies statements only to tickers traded while they are the latest.
+    ``within_range`` copies statements only to tickers traded while they are the latest. ``packed`` names a
+    struct that keeps the statement's columns together (not with ``by_period``).
     """
     payload = [c for c in statements.columns if c not in ("id_cnpj", "_safra", "_visible")]
     if by_period:
@@ -72,8 +73,9 @@ def join_statements(
             prices, statements, ["id_cnpj"], "dt_safra_dre", "_safra", ["dt_refer"], payload, keys_from, keyed=True
         )
     return asof_join(
-        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from, True, within_range
-    )
+        prices, statements, ["id_cnpj"], SERIES, "date", "_visible", ["dt_refer"], payload, keys_from, True,
+        within_range, packed,
+    )
 
 
 def build_model_table(
@@ -115,12 +117,17 @@ def build_full_model_table(
     """The whole model table, 250 columns in their order, from raw prices and statements.
 
     Both inputs are deduplicated before any feature is computed, so no window sees a row twice. Statements are
-    joined first: only bare price rows are shuffled, and their features are computed where the join left them.
+    joined first: only bare price rows are shuffled, and their features are computed where the join left them. Targets
+    come before the features, whose step hides from Spark that the rows are sorted; rows without one go after it.
+    A statement travels as one struct and is taken apart last, so that no step between handles its columns one by one.
     """
     records = statement_features(prepare_statements(statements), ["id_cnpj"], "dt_refer")
-    rows = join_statements(prepare_prices(prices, since), records, keys_from=known_prices(prices, since))
-    joined = price_features(rows, SERIES, ["date"])
-    out = project(add_target(joined, SERIES, "date", "adj_close", shift), V.model_columns())
+    priced = known_prices(prices, since)
+    rows = join_statements(prepare_prices(prices, since), records, keys_from=priced, packed="_statement")
+    joined = price_features(with_target(rows, SERIES, "date", "adj_close", shift), SERIES, ["date"])
+    flagged = joined.filter(F.col("cat_target").isNotNull())
+    stated = [F.col("_statement")[c].alias(c) for c in V.model_columns() if c not in joined.columns]
+    out = project(flagged.select(*joined.columns, *stated), V.model_columns())
     return out.filter(F.col("txt_company_name").isNotNull()) if drop_unmatched else out
 
 
